@@ -12,26 +12,21 @@ from triage.operators.label import build_labeled
 from triage.operators.profile import prepare_summary
 from triage.operators.split import stratified_split
 from triage.sources import tickets as src
-from triage.sources.folders import write_through
+from triage.sources.folders import write_table, write_through
 
 
 def with_ids(raw: DataFrame) -> DataFrame:
-    """A stable id per raw ticket, from its content and its place among equal rows."""
+    """Give raw tickets an id where they have none: file and row of a written copy.
+
+    Needs no shuffle, and the same input read with the same settings gets the same ids.
+    """
     if "ticket_id" in raw.columns:
         return raw
-    content = F.sha2(F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"}), 256)
-    # Equal rows are counted, then numbered again from the count: a text copied into a
-    # third of all rows is one short record per task until it is unfolded.
-    copies = raw.withColumn("_content", content).groupBy("_content", *raw.columns).agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
-    numbers = F.sequence(F.lit(1).cast("long"), F.col("_copies"))
-    return copies.select(
-        *raw.columns, "_content", F.explode(numbers).alias("_copy")
-    ).select(
-        F.concat_ws("-", "_content", F.col("_copy").cast("string")).alias("ticket_id"),
-        *raw.columns,
-    )
+    copy = raw.sparkSession.read.schema(raw.schema).parquet(write_table(raw, "raw"))
+    name = F.col("_metadata.file_name")
+    parts = [F.regexp_extract(name, r"part-(\d+)-.*-c(\d+)", i) for i in (1, 2)]
+    row = F.col("_metadata.row_index").cast("string")
+    return copy.select(F.concat_ws("-", *parts, row).alias("ticket_id"), *raw.columns)
 
 
 def prepare(
