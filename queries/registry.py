@@ -1,5 +1,5 @@
 """All registered queries by name: a function of (spark, folder) and a SQL text."""
 
-from queries import texts
+from queries import evaluations, profiles, texts
 
-REGISTRY = {**texts.QUERIES}
+REGISTRY = {**texts.QUERIES, **profiles.QUERIES, **evaluations.QUERIES}
