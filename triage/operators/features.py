@@ -224,7 +224,7 @@ def vectors(
     keep: Sequence[str] = ("category",),
     id_column: str = "ticket_id",
 ) -> DataFrame:
-    """``(ticket_id, …keep, features)`` with sparse ML vectors and a constant last feature.
+    """``(ticket_id, …keep, features)`` with sparse ML vectors.
 
     The table is written to the work folder in the vectors' storage layout and read
     back as vectors, so no row passes through Python and training does not recompute
@@ -255,11 +255,9 @@ def vectors(
     )
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
-        F.lit(model.n_terms + 1).alias("size"),
-        F.concat(
-            F.transform("_entries", lambda e: e["idx"]), F.array(F.lit(model.n_terms))
-        ).alias("indices"),
-        F.concat(scaled, F.array(F.lit(1.0))).alias("values"),
+        F.lit(model.n_terms).alias("size"),
+        F.transform("_entries", lambda e: e["idx"]).alias("indices"),
+        scaled.alias("values"),
     )
     table = grouped.select(id_column, *keep, vector.cast(VECTOR_FIELDS).alias("features"))
     path = write_table(table, "features")

@@ -20,10 +20,13 @@ def read_stream(
     schema: T.StructType,
     *,
     format: str = "parquet",
+    pattern: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Files that arrive in a folder."""
+    """Files that arrive in a folder, those of a name pattern if one is given."""
     reader = spark.readStream.schema(schema).format(format)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)
