@@ -170,8 +170,8 @@ def char_ngrams(c: Column | str, span: tuple[int, int] = fv.CHAR_NGRAMS) -> Colu
     return F.flatten(F.transform(words(c), lambda w: ngrams_of_word(w, span)))
 
 
-def term_counts(terms: Column) -> Column:
-    """``array<struct<term, tf>>`` of an array of terms, worked out inside the row.
+def term_counts(terms: Column, **constants: Column) -> Column:
+    """``array<struct<…constants, term, tf>>`` of an array of terms, inside the row.
 
     The terms are sorted; a run of equal neighbours is one term and its length
     the count. No shuffle is needed, whatever the table size.
@@ -182,18 +182,17 @@ def term_counts(terms: Column) -> Column:
         starts = F.filter(
             positions, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
         )
-        return let(
-            starts,
-            lambda st: F.transform(
-                st,
-                lambda at, k: F.struct(
-                    F.get(s, at).alias("term"),
-                    (F.coalesce(F.get(st, k + 1), F.size(s)) - at).alias("tf"),
-                ),
-            ),
+        return let(starts, lambda st: F.transform(st, lambda at, k: run(s, st, at, k)))
+
+    def run(s: Column, starts: Column, at: Column, k: Column) -> Column:
+        return F.struct(
+            *[value.alias(name) for name, value in constants.items()],
+            F.get(s, at).alias("term"),
+            (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).alias("tf"),
         )
 
-    empty = F.array().cast("array<struct<term:string,tf:int>>")
+    # Only the array's length decides, so no terms give no runs.
     return let(
-        F.sort_array(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty)
+        F.sort_array(terms),
+        lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.slice(runs(F.array(F.lit(""))), 1, 0)),
     )

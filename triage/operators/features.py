@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from triage import fixed_values as fv
 from triage.functions import text as tx
 from triage.functions.binding import column
+from triage.operators.columns import by_ticket
 from triage.operators.profile import whole
 from triage.sources.folders import write_table, write_through
 
@@ -51,13 +52,7 @@ def count_terms(
     tx.require_string(df, text)
 
     def of_block(block: str) -> Column:
-        counted = tx.term_counts(block_terms(F.col("_clean"), block))
-        return F.transform(
-            counted,
-            lambda t: F.struct(
-                F.lit(block).alias("block"), t["term"].alias("term"), t["tf"].alias("tf")
-            ),
-        )
+        return tx.term_counts(block_terms(F.col("_clean"), block), block=F.lit(block))
 
     cleaned = df.select(id_column, *keep, tx.clean_text_or_empty(text).alias("_clean"))
     unfold = F.inline_outer if keep_empty else F.inline
@@ -110,17 +105,9 @@ def with_index(terms: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(
-    counts: DataFrame,
-    n_docs: Column,
-    *,
-    min_df: int = fv.MIN_DF,
-    max_df: float = fv.MAX_DF,
-) -> DataFrame:
-    """``(block, term, df, idf, idx)`` of the kept terms; idf = ln((1+n)/(1+df)) + 1."""
-    kept = prune(document_frequency(counts), n_docs, min_df=min_df, max_df=max_df)
-    idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1.0
-    return with_index(kept.withColumn("idf", idf))
+def with_idf(kept: DataFrame, n_docs: Column) -> DataFrame:
+    """Add idf = ln((1+n)/(1+df)) + 1."""
+    return kept.withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1.0)
 
 
 @dataclass(frozen=True)
@@ -141,12 +128,17 @@ def fit_tfidf(
     max_df: float = fv.MAX_DF,
     id_column: str = "ticket_id",
 ) -> TfidfModel:
-    """Count the tickets and write the vocabulary to the work folder."""
+    """Count the tickets and write the vocabulary ``(block, term, df, idf, idx)``.
+
+    The kept terms are written before they are numbered, because numbering reads them
+    twice and counting them is the costly part.
+    """
     n_docs = df.count()
-    counts = count_terms(df, text, blocks=blocks, id_column=id_column)
-    terms = write_through(
-        vocabulary(counts, F.lit(n_docs), min_df=min_df, max_df=max_df), "vocabulary"
+    counted = document_frequency(count_terms(df, text, blocks=blocks, id_column=id_column))
+    kept = write_through(
+        prune(counted, F.lit(n_docs), min_df=min_df, max_df=max_df), "kept-terms"
     )
+    terms = write_through(with_index(with_idf(kept, F.lit(n_docs))), "vocabulary")
     return TfidfModel(terms, terms.count(), n_docs)
 
 
@@ -197,9 +189,8 @@ def tfidf(
     partitioned by ticket first: they are the smallest form of the data, and the norm
     then needs no further exchange.
     """
-    counts = count_terms(
-        df.select(id_column, text).repartition(id_column), text, blocks=blocks, id_column=id_column
-    )
+    tickets = by_ticket(df.select(id_column, text), id_column)
+    counts = count_terms(tickets, text, blocks=blocks, id_column=id_column)
     found = look_up_terms(counts, model.terms, n_terms=model.n_terms, n_docs=model.n_docs)
     raw = found.select(id_column, "block", "term", "idx", _raw_weight().alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_column, "block")))
@@ -216,7 +207,7 @@ def block_scale(block: Column | str = "block") -> Column:
 VECTOR_FIELDS = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def vectors(
+def sparse_rows(
     df: DataFrame,
     model: TfidfModel,
     text: str = "text",
@@ -224,15 +215,12 @@ def vectors(
     keep: Sequence[str] = ("category",),
     id_column: str = "ticket_id",
 ) -> DataFrame:
-    """``(ticket_id, …keep, features)`` with sparse ML vectors.
+    """``(ticket_id, …keep, indices, values)``: each ticket's weights by term number.
 
-    The table is written to the work folder in the vectors' storage layout and read
-    back as vectors, so no row passes through Python and training does not recompute
-    the texts.
+    As in ``tfidf``, texts are partitioned by ticket first, so that a ticket's terms are
+    gathered where they were counted.
     """
-    from pyspark.ml.linalg import VectorUDT
-
-    tickets = df.select(id_column, *keep, text).repartition(id_column)
+    tickets = by_ticket(df.select(id_column, *keep, text), id_column)
     counts = count_terms(tickets, text, id_column=id_column, keep=keep, keep_empty=True)
     found = look_up_terms(
         counts, model.terms, n_terms=model.n_terms, n_docs=model.n_docs, how="left"
@@ -253,13 +241,30 @@ def vectors(
         * block_scale(e["block"])
         / F.when(e["block"] == "word", F.col("_word")).otherwise(F.col("_char")),
     )
-    vector = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(model.n_terms).alias("size"),
+    return grouped.select(
+        id_column,
+        *keep,
         F.transform("_entries", lambda e: e["idx"]).alias("indices"),
         scaled.alias("values"),
     )
-    table = grouped.select(id_column, *keep, vector.cast(VECTOR_FIELDS).alias("features"))
-    path = write_table(table, "features")
+
+
+def vectors(rows: DataFrame, n_terms: int) -> DataFrame:
+    """``sparse_rows`` as ML vectors in a column ``features``, for use with MLlib.
+
+    The table is written to the work folder in the vectors' storage layout and read
+    back as vectors, so no row passes through Python.
+    """
+    from pyspark.ml.linalg import VectorUDT
+
+    keep = [c for c in rows.columns if c not in ("indices", "values")]
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(n_terms).alias("size"),
+        F.col("indices"),
+        F.col("values"),
+    )
+    table = rows.select(*keep, vector.cast(VECTOR_FIELDS).alias("features"))
+    path = write_table(table, "vectors")
     schema = T.StructType([*table.schema.fields[:-1], T.StructField("features", VectorUDT())])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)

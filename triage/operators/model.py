@@ -1,31 +1,28 @@
 """Topic classifier: one weighted logistic regression per class over TF-IDF features.
 
-Matches the one-vs-rest formulation of LIBLINEAR: a squared penalty on the
-coefficients plus C times the weighted loss, where a class's weight applies to its own
-rows and the others count once. One difference remains: the intercept is not
-penalised, which matters only for a handful of rows. The fitted model is a table of
-terms with one coefficient per class; scoring is a join and a sum.
+One class against the rest, with a squared penalty on all coefficients, the intercept
+included, plus C times the weighted loss, where a class's weight applies to its own
+rows and the others count once: the formulation of LIBLINEAR. The fitted model is a
+table of terms with one coefficient per class; scoring is a join and a sum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triage import fixed_values as fv
 from triage.operators import features as ft
 from triage.operators.columns import require_columns
+from triage.operators.solver import Problem, fit_logistic
 from triage.sources.folders import write_through
 
-# Coefficients are dense on the driver while a class is fitted: 8 bytes a term.
-MAX_TERMS = 50_000_000
-MAX_PARALLEL_FITS = 8
+# Coefficients are dense on the driver while fitting, some 200 bytes a term and class.
+# More terms call for a higher min_df, which is why fitting refuses instead of cutting.
+MAX_TERMS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -90,7 +87,7 @@ def fit_topics(
     """Fit vocabulary and coefficients.
 
     Features are built once and written; every pass of the solver is a distributed sum
-    of gradients over them. ``tol`` is the solver's relative tolerance.
+    of gradients over them.
     """
     require_columns(df, (id_column, text, label))
     rows = df.where(F.col(label).isNotNull())
@@ -100,8 +97,6 @@ def fit_topics(
     vocab = ft.fit_tfidf(rows, text, min_df=min_df, max_df=max_df, id_column=id_column)
     if not 0 < vocab.n_terms <= MAX_TERMS:
         raise ValueError(f"{vocab.n_terms} terms: change min_df or max_df")
-    table = ft.vectors(rows, vocab, text, keep=(label,), id_column=id_column)
-
     names = list(sizes)
     total = sum(sizes.values())
     if class_weight == "balanced":
@@ -109,62 +104,41 @@ def fit_topics(
     else:
         weights = {c: float((class_weight or {}).get(c, 1.0)) for c in names}
 
-    def fit(name: str, rest_weight: float) -> tuple[list[float], float]:
-        return _fit_one(table, label, name, weights[name], rest_weight, sizes, C, max_iter, tol)
+    numbers = F.array_position(F.array(*[F.lit(c) for c in names]), F.col(label)) - 1
+    table = write_through(
+        ft.sparse_rows(rows, vocab, text, keep=(label,), id_column=id_column).select(
+            numbers.cast("int").alias("label_no"), "indices", "values"
+        ),
+        "features",
+    )
+
+    def problem(i: int, rest_weight: float) -> Problem:
+        return Problem(i, sizes[names[i]], total, weights[names[i]], rest_weight)
 
     if len(names) == 2:
-        coef_1, intercept_1 = fit(names[1], weights[names[0]])
-        columns, intercepts = [-coef_1, coef_1], [-intercept_1, intercept_1]
+        problems = [problem(1, weights[names[0]])]
     else:
-        # The classes' solvers run side by side, each on its own passes.
-        jobs = [inheritable_thread_target(partial(fit, c, 1.0)) for c in names]
-        with ThreadPoolExecutor(max_workers=MAX_PARALLEL_FITS) as pool:
-            fitted = list(pool.map(lambda job: job(), jobs))
-        columns, intercepts = [f[0] for f in fitted], [f[1] for f in fitted]
+        problems = [problem(i, 1.0) for i in range(len(names))]
+    columns = fit_logistic(table, vocab.n_terms, problems, C=C, tol=tol, max_iter=max_iter)
+    if len(names) == 2:
+        columns = [-columns[0], columns[0]]
     coef = _coefficient_table(df.sparkSession, columns)
     terms = write_through(vocab.terms.join(coef, "idx"), "topic-terms")
     return TopicModel(
         terms,
         tuple(names),
-        tuple(float(b) for b in intercepts),
+        tuple(float(c[-1]) for c in columns),
         vocab.n_terms,
         vocab.n_docs,
     )
 
 
-def _fit_one(table, label, name, weight, rest_weight, sizes, C, max_iter, tol):
-    """Coefficients and intercept of one class against the rest."""
-    from pyspark.ml.classification import LogisticRegression
-
-    positive = F.col(label) == name
-    rows = table.select(
-        "features",
-        positive.cast("double").alias("label"),
-        F.when(positive, F.lit(weight)).otherwise(F.lit(rest_weight)).alias("weight"),
-    )
-    mass = sizes[name] * weight + (sum(sizes.values()) - sizes[name]) * rest_weight
-    solver = LogisticRegression(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        family="binomial",
-        regParam=1.0 / (C * mass),
-        elasticNetParam=0.0,
-        fitIntercept=True,
-        standardization=False,
-        maxIter=max_iter,
-        tol=tol,
-    )
-    fitted = solver.fit(rows)
-    return fitted.coefficients.toArray(), fitted.intercept
-
-
 def _coefficient_table(spark: SparkSession, columns) -> DataFrame:
     """``(idx, coef)``; the solver's vectors are on the driver already."""
     import numpy as np
     import pyarrow as pa
 
-    matrix = np.stack(columns, axis=1)
+    matrix = np.stack([c[:-1] for c in columns], axis=1)
     n, k = matrix.shape
     coef = pa.ListArray.from_arrays(
         pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(matrix.reshape(-1))

@@ -11,6 +11,7 @@ from triage import fixed_values as fv
 from triage.functions import polarity as po
 from triage.functions import text as tx
 from triage.functions.binding import column, let
+from triage.operators.columns import by_ticket
 
 Phrases = Sequence[tuple[str, float]] | Mapping[str, float]
 
@@ -143,7 +144,7 @@ def analyze_sentiment_by_join(
     )
     if words.count() <= BROADCAST_WORDS:
         words = F.broadcast(words)
-    tickets = df.repartition(id_column)
+    tickets = by_ticket(df, id_column)
     pieces = tickets.where(tx.has_content(text)).select(
         id_column, F.posexplode(po.tokens(text)).alias("_at", "_token")
     )
