@@ -154,6 +154,8 @@ def ticket_stats(spark, d):
 def _ticket_stream(spark, d):
     schema = table(spark, d, "documents").schema
     arriving = online.read_stream(spark, d, schema, pattern="documents.parquet")
+    # One small file is one task; use all cores on it.
+    arriving = arriving.repartition(spark.sparkContext.defaultParallelism)
     return fixtures.tickets(arriving).withColumn("text", tx.assemble_text("subject", "body"))
 
 

@@ -38,9 +38,13 @@ def require_string(df: DataFrame, name: str) -> None:
         raise TypeError(f"column {name!r} must be a string, got {kind.simpleString()}")
 
 
+# Every character of the class SPACE.
+SPACES = "".join(ch for ch in map(chr, range(sys.maxunicode + 1)) if ch.isspace())
+
+
 def strip(c: Column | str) -> Column:
-    """Trim Unicode white space at both ends (``F.trim`` knows only the blank)."""
-    return F.regexp_replace(column(c), rf"^{SPACE}+|{SPACE}+$", "")
+    """Trim Unicode white space at both ends; looks at the ends only, unlike a pattern."""
+    return F.trim(column(c), F.lit(SPACES))
 
 
 def has_content(c: Column | str) -> Column:
