@@ -1,0 +1,111 @@
+import hashlib
+
+import pytest
+
+from triage import fixed_values as fv
+from triage.operators import profile as pr
+from triage.operators import split as sp
+
+PUBLISHED = {
+    "Billing": 3437,
+    "Authentication": 5415,
+    "Bug Report": 10043,
+    "Feature Request": 3489,
+    "Technical Setup": 1811,
+}
+
+
+@pytest.fixture(scope="module")
+def toy(spark):
+    rows = [(i, f"ticket {i}", fv.CATEGORIES[i // 20]) for i in range(100)]
+    return spark.createDataFrame(rows, "ticket_id long, text string, category string")
+
+
+def assigned(df):
+    return {r["ticket_id"]: r["split"] for r in df.collect()}
+
+
+def test_quotas_of_the_published_counts(spark):
+    counts = spark.createDataFrame(list(PUBLISHED.items()), "category string, n long")
+    got = {r["category"]: (r["n_test"], r["n_val"]) for r in sp.split_quotas(counts).collect()}
+    assert got == {
+        "Billing": (516, 516),
+        "Authentication": (812, 812),
+        "Bug Report": (1507, 1507),
+        "Feature Request": (523, 523),
+        "Technical Setup": (272, 272),
+    }
+    assert sum(t for t, _ in got.values()) == sum(v for _, v in got.values()) == 3630
+
+
+def test_quotas_do_not_overflow(spark):
+    big = 3 * 10**11
+    counts = spark.createDataFrame([("a", big), ("b", 1)], "category string, n long")
+    got = {r["category"]: r["n_test"] for r in sp.split_quotas(counts).collect()}
+    assert got["a"] + got["b"] == -(-(big + 1) * 15 // 100)
+
+
+def test_sizes_and_shares(toy):
+    split = sp.stratified_split(toy)
+    rows = split.collect()
+    sizes = [sum(r["split"] == s for r in rows) for s in ("train", "val", "test")]
+    assert sizes == [70, 15, 15]
+    for s in ("train", "val", "test"):
+        mine = [r["category"] for r in rows if r["split"] == s]
+        for c in fv.CATEGORIES:
+            assert 0.15 <= mine.count(c) / len(mine) <= 0.25
+    assert pr.split_drift(split).first()["passed"]
+
+
+def test_same_seed_same_split_other_seed_other_split(toy):
+    first = assigned(sp.stratified_split(toy))
+    assert assigned(sp.stratified_split(toy.repartition(3))) == first
+    assert assigned(sp.stratified_split(toy, seed=43)) != first
+
+
+def test_equals_sorting_the_hashes(spark):
+    rows = [(i, "hot" if i % 3 else f"c{i % 5}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "ticket_id long, category string")
+    got = assigned(sp.stratified_split(df, seed=7))
+    sizes = {}
+    for _, c in rows:
+        sizes[c] = sizes.get(c, 0) + 1
+    counts = spark.createDataFrame(list(sizes.items()), "category string, n long")
+    quotas = {r["category"]: r for r in sp.split_quotas(counts).collect()}
+    for c in sizes:
+        ids = [i for i, x in rows if x == c]
+        ids.sort(key=lambda i: hashlib.md5(f"7|{i}".encode()).hexdigest())
+        t, v = quotas[c]["n_test"], quotas[c]["n_val"]
+        for at, i in enumerate(ids):
+            assert got[i] == ("test" if at < t else "val" if at < t + v else "train")
+
+
+def test_tiny_and_null_classes(spark):
+    df = spark.createDataFrame(
+        [(1, "a"), (2, None), (3, "b"), (4, "b")], "ticket_id long, category string"
+    )
+    assert set(assigned(sp.stratified_split(df))) == {1, 2, 3, 4}
+
+
+def test_bernoulli_needs_no_shuffle(spark, toy):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20000).select(F.col("id").alias("ticket_id"), F.lit("a").alias("category"))
+    split = sp.stratified_split(df, mode="bernoulli")
+    sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    assert abs(sizes["test"] - 3000) < 200 and abs(sizes["val"] - 3000) < 200
+    assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_tickets_are_not_shuffled(toy):
+    plan = sp.stratified_split(toy)._jdf.queryExecution().executedPlan().toString()
+    left = plan.split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in left and "SortMergeJoin" not in left
+
+
+def test_missing_category_is_refused(spark):
+    df = spark.createDataFrame([("a", 1)], "text string, label int")
+    with pytest.raises(ValueError):
+        sp.stratified_split(df)
+    with pytest.raises(ValueError):
+        sp.stratified_split(df.selectExpr("text category", "label ticket_id"), mode="other")
