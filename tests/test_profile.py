@@ -1,0 +1,133 @@
+import pytest
+from pyspark.sql import functions as F
+
+from triage import fixed_values as fv
+from triage.operators import profile as pr
+from triage.operators import weights as wt
+
+COUNTS = [
+    ("Billing", 3437), ("Authentication", 5415), ("Bug Report", 10043),
+    ("Feature Request", 3489), ("Technical Setup", 1811),
+]
+# Published weights for those counts.
+WEIGHTS = {
+    "Billing": (1.4079, 1.4079, 0.9813, 1.0),
+    "Authentication": (0.8936, 0.8936, 0.954, 1.0),
+    "Bug Report": (0.4818, 0.4818, 0.9498, 1.0),
+    "Feature Request": (1.3869, 1.3869, 0.9796, 1.0),
+    "Technical Setup": (2.672, 2.672, 1.1352, 1.0),
+}
+
+
+@pytest.fixture(scope="module")
+def counts(spark):
+    return spark.createDataFrame(COUNTS, "category string, n long")
+
+
+def test_published_weights(counts):
+    got = {r["category"]: (r["balanced"], r["capped"], r["eff_n_b999"], r["eff_n_b99"])
+           for r in wt.class_weights(counts).collect()}
+    assert got == WEIGHTS
+    assert wt.imbalance(counts).first()["imbalance_ratio"] == pytest.approx(5.545554942020983)
+    assert pr.majority_baseline(counts).first()[0] == pytest.approx(10043 / 24195)
+
+
+def test_cap_binds(counts):
+    got = {r["category"]: r["capped"] for r in wt.class_weights(counts, cap=1.0).collect()}
+    assert got["Technical Setup"] == 1.0 and got["Bug Report"] == 0.4818
+
+
+def test_effective_distribution(counts):
+    rows = wt.effective_distribution(wt.class_weights(counts)).collect()
+    shares = {(r["scheme"], r["category"]): r["share"] for r in rows}
+    assert shares["raw", "Bug Report"] == round(10043 / 24195, 4)
+    assert shares["balanced", "Billing"] == pytest.approx(0.2, abs=1e-3)
+    for s in ("raw", "balanced", "capped", "eff_n_b999", "eff_n_b99"):
+        assert sum(v for (x, _), v in shares.items() if x == s) == pytest.approx(1, abs=5e-4)
+
+
+def lengths(spark, values):
+    rows = [("x" * v if v is not None else None,) for v in values]
+    return spark.createDataFrame(rows, "body string")
+
+
+def test_describe_length(spark):
+    import statistics
+
+    values = list(range(1, 21))
+    r = pr.describe_length(lengths(spark, [*values, None])).first()
+    assert (r["n"], r["min"], r["max"], r["p25"], r["p50"], r["p75"]) == (
+        20, 1, 20, 5.75, 10.5, 15.25
+    )
+    assert r["mean"] == 10.5 and r["std"] == pytest.approx(statistics.stdev(values))
+    rough = pr.describe_length(lengths(spark, values), approx=True).first()
+    assert rough["n"] == 20 and abs(rough["p50"] - 10.5) <= 1
+    one = pr.describe_length(lengths(spark, [7])).first()
+    assert one["std"] is None and one["p50"] == 7.0
+    assert pr.describe_length(lengths(spark, [None])).first()["n"] == 0
+
+
+def test_length_histogram(spark):
+    values = [0, 0, 1, 49, 50, 99, 100]
+    rows = {r["bin"]: r["n"] for r in pr.length_histogram(lengths(spark, values)).collect()}
+    assert len(rows) == 50 and sum(rows.values()) == len(values)
+    assert (rows[1], rows[25], rows[26], rows[50]) == (3, 1, 1, 2)
+    same = {r["bin"]: r["n"] for r in pr.length_histogram(lengths(spark, [5, 5])).collect()}
+    assert same[1] == 2 and sum(same.values()) == 2
+
+
+def test_boxplot(spark):
+    rows = [("a", v) for v in (1, 2, 3, 4, 100)] + [("b", 7), (None, 1)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = {r["g"]: r for r in pr.boxplot(df, "g", F.col("v")).collect()}
+    a = got["a"]
+    assert (a["q1"], a["median"], a["q3"]) == (2.0, 3.0, 4.0)
+    assert (a["whisker_low"], a["whisker_high"], a["outliers"], a["n"]) == (1.0, 4.0, 1, 5)
+    assert set(got) == {"a", "b"} and got["b"]["whisker_high"] == 7.0
+
+
+def test_text_stats_and_order(spark):
+    rows = [("a", "w " * n) for n in (1, 2, 4)] + [("b", "one"), (None, "x y z")]
+    df = spark.createDataFrame(rows, "category string, text string")
+    got = {r["category"]: r for r in pr.text_stats(df).collect()}
+    assert got["a"]["mean_words"] == 2.3 and got["a"]["median_words"] == 2.0
+    assert got["a"]["p95_words"] == 3.8
+    assert [r["category"] for r in pr.order_by_median(df).collect()] == ["b", "a"]
+
+
+def test_top_words(spark):
+    rows = [("t", "The cat, the CAT and a 2cat caté"), ("t", "dog the"), ("u", None), (None, "cat")]
+    df = spark.createDataFrame(rows, "type string, body string")
+    got = [(r["type"], r["word"], r["n"], r["rank"]) for r in pr.top_words(df, n=2).collect()]
+    assert sorted(got, key=str) == sorted(
+        [("t", "the", 3, 1), ("t", "cat", 2, 2), (None, "cat", 1, 1)], key=str
+    )
+
+
+def test_value_counts_and_profile(spark):
+    df = spark.createDataFrame(
+        [("x", None, 1), ("x", "p", 2), (None, "q", 3)], "a string, b string, c int"
+    )
+    got = {(r["column_name"], r["value"]): r["n"] for r in pr.value_counts(df, ["a", "b"]).collect()}
+    assert got == {("a", "x"): 2, ("b", "p"): 1, ("b", "q"): 1}
+    rows = {r["column_name"]: tuple(r)[1:] for r in pr.column_profile(df).collect()}
+    assert rows == {"a": ("string", 3, 2), "b": ("string", 3, 2), "c": ("int", 3, 3)}
+
+
+def test_crosstab_and_distribution(spark):
+    rows = [(q, t) for q in "abcdefghijkl" for t in ("Incident", "Request")]
+    df = spark.createDataFrame([*rows, ("a", None), (None, "Request")], "queue string, type string")
+    table = pr.crosstab(df, "queue", "type", ["Incident", "Problem"]).collect()
+    assert [r["queue"] for r in table] == list("abcdefghij")
+    assert all((r["Incident"], r["Problem"]) == (1, 0) for r in table)
+    few = spark.createDataFrame([("Bug Report",), ("Other",)], "category string")
+    filled = [(r["category"], r["n"])
+              for r in pr.distribution_zero_filled(few).orderBy("cat_no").collect()]
+    assert filled == [(c, int(c == "Bug Report")) for c in fv.CATEGORIES]
+
+
+def test_drift(spark):
+    rows = [("Billing", "train")] * 9 + [("Billing", "test")] + [("Bug Report", "train")] * 10
+    df = spark.createDataFrame(rows, "category string, split string")
+    drift = pr.split_drift(df).first()
+    assert drift["max_deviation"] == pytest.approx(0.5) and not drift["passed"]
