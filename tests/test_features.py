@@ -1,0 +1,119 @@
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from test_text import char_grams
+from triage.operators import features as ft
+
+TEXTS = [
+    "Refund the invoice, refund it now",
+    "the login page is down",
+    "The invoice is wrong and the login too",
+    "",
+    "naïve café café",
+    "login login login the",
+    None,
+]
+
+
+def word_grams(text):
+    words = [w for w in "".join(c if c.isalnum() or c == "_" else " " for c in text).split()
+             if len(w) >= 2]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def expected(texts, min_df=2, max_df=0.95):
+    """TF-IDF said in Python: {(ticket, block, term): weight}, and the vocabulary."""
+    plain = {"ï": "i", "é": "e"}
+    cleaned = [" ".join((t or "").lower().split()) for t in texts]
+    tf = {}
+    for i, t in enumerate(cleaned):
+        stripped = "".join(plain.get(c, c) for c in t)
+        for block, grams in (("word", word_grams(stripped)), ("char", char_grams(t))):
+            for term, n in Counter(grams).items():
+                tf[i, block, term] = n
+    df = Counter((b, t) for _, b, t in tf)
+    n = len(texts)
+    kept = {k: d for k, d in df.items() if d >= min_df and d <= max_df * n}
+    raw = {
+        k: (1 + math.log(c)) * (math.log((1 + n) / (1 + kept[k[1:]])) + 1)
+        for k, c in tf.items()
+        if k[1:] in kept
+    }
+    norms = Counter()
+    for (i, b, _), w in raw.items():
+        norms[i, b] += w * w
+    scale = {"word": 1.0, "char": 0.5}
+    weights = {k: w / math.sqrt(norms[k[0], k[1]]) * scale[k[1]] for k, w in raw.items()}
+    order = sorted(kept, key=lambda k: (k[0] == "char", k[1].encode()))
+    return weights, {k: i for i, k in enumerate(order)}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return spark.createDataFrame(list(enumerate(TEXTS)), "ticket_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def model(corpus):
+    return ft.fit_tfidf(corpus)
+
+
+def as_dict(rows):
+    return {(r["ticket_id"], r["block"], r["term"]): r["weight"] for r in rows}
+
+
+def test_vocabulary_and_weights(corpus, model):
+    weights, vocabulary = expected(TEXTS)
+    got = {(r["block"], r["term"]): r["idx"] for r in model.terms.collect()}
+    assert got == vocabulary
+    assert model.n_terms == len(vocabulary) and model.n_docs == len(TEXTS)
+    found = as_dict(ft.tfidf(corpus, model).collect())
+    assert found.keys() == weights.keys()
+    assert all(found[k] == pytest.approx(weights[k]) for k in weights)
+
+
+def test_large_vocabularies_give_the_same_weights(corpus, model, monkeypatch):
+    whole = as_dict(ft.tfidf(corpus, model).collect())
+    monkeypatch.setattr(ft, "BROADCAST_TERMS", 5)
+    monkeypatch.setattr(ft, "FREQUENT_SHARE", 0.3)
+    parts = as_dict(ft.tfidf(corpus, model).collect())
+    assert parts.keys() == whole.keys()
+    assert all(parts[k] == pytest.approx(whole[k]) for k in whole)
+
+
+def test_pruning_bounds(spark):
+    df = spark.createDataFrame(
+        [("word", "a", 1), ("word", "b", 2), ("word", "c", 19), ("word", "d", 20)],
+        "block string, term string, df long",
+    )
+    assert [r["term"] for r in ft.prune(df, F.lit(20)).orderBy("term").collect()] == ["b", "c"]
+
+
+def test_empty_tickets_are_kept_on_request(corpus):
+    some = ft.count_terms(corpus)
+    assert {r[0] for r in some.select("ticket_id").distinct().collect()} == {0, 1, 2, 4, 5}
+    every = ft.count_terms(corpus, keep_empty=True)
+    assert {r[0] for r in every.select("ticket_id").distinct().collect()} == set(range(7))
+
+
+def test_vectors(corpus, model):
+    weights, vocabulary = expected(TEXTS)
+    rows = ft.sparse_rows(corpus, model, keep=())
+    for r in ft.vectors(rows, model.n_terms).collect():
+        v = r["features"]
+        assert v.size == model.n_terms
+        want = {vocabulary[k[1:]]: w for k, w in weights.items() if k[0] == r["ticket_id"]}
+        assert dict(zip(v.indices.tolist(), v.values.tolist())) == pytest.approx(want)
+
+
+def test_counting_terms_needs_no_shuffle(corpus):
+    plan = ft.count_terms(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_weights_need_one_shuffle_of_texts(corpus, model):
+    plan = ft.tfidf(corpus, model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
