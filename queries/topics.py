@@ -80,7 +80,9 @@ def fixed_model(spark, d):
     coef = F.array(*[((F.col("idx") * (i + 3)) % 11 - 5) / 10.0 for i in range(len(CLASSES))])
     terms = fitted.terms.withColumn("coef", coef)
     intercepts = tuple(i / 10.0 for i in range(len(CLASSES)))
-    return mo.TopicModel(terms, CLASSES, intercepts, fitted.n_terms, fitted.n_docs)
+    return mo.TopicModel(
+        terms, CLASSES, intercepts, fitted.n_terms, fitted.n_bytes, fitted.n_docs
+    )
 
 
 def linear_score(spark, d):

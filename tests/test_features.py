@@ -77,7 +77,7 @@ def test_vocabulary_and_weights(corpus, model):
 
 def test_large_vocabularies_give_the_same_weights(corpus, model, monkeypatch):
     whole = as_dict(ft.tfidf(corpus, model).collect())
-    monkeypatch.setattr(ft, "BROADCAST_TERMS", 5)
+    monkeypatch.setattr(ft, "BROADCAST_BYTES", 1500)
     monkeypatch.setattr(ft, "FREQUENT_SHARE", 0.3)
     parts = as_dict(ft.tfidf(corpus, model).collect())
     assert parts.keys() == whole.keys()

@@ -146,6 +146,13 @@ def test_classify_rules_on_requests(spark):
         classify(requests(spark, []), mode="model")
 
 
+def test_copies_without_ids_stay_whole(spark):
+    model = mo.fit_topics(table(spark, [(t, c) for c, ts in CORPUS.items() for t in ts]))
+    rows = [(None, "I paid the invoice twice", "pro")] * 7 + [(None, "app crashes", None)]
+    out = classify(requests(spark, rows), mode="model", model=model)
+    assert sorted(r["category"] for r in out.collect()) == ["Billing"] * 7 + ["Bug Report"]
+
+
 def test_edge_tickets(spark):
     lines, df = edge_tickets(spark)
     assert len(lines) == 30

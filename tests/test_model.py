@@ -121,7 +121,7 @@ def test_probabilities(spark, model):
 
 
 def test_decision_function_is_the_dot_product(train, model):
-    vocab = ft.TfidfModel(model.terms, model.n_terms, model.n_docs)
+    vocab = ft.TfidfModel(model.terms, model.n_terms, model.n_bytes, model.n_docs)
     rows = ft.sparse_rows(train, vocab).collect()
     coef = np.zeros((model.n_terms, 5))
     for r in model.terms.collect():
@@ -141,6 +141,15 @@ def test_empty_null_and_unknown_texts_get_a_class(spark, model):
     assert all(r["category"] in fv.CATEGORIES for r in got)
 
 
+def test_copies_with_one_id_score_like_one(spark, model):
+    one = spark.createDataFrame([("a", CANONICAL[0][0]), ("b", "")], "ticket_id string, text string")
+    many = one.union(one).union(one)
+    want = {r[0]: r[1] for r in mo.decision_function(one, model).collect()}
+    got = {r[0]: r[1] for r in mo.decision_function(many, model).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_save_and_load(spark, train, model, tmp_path):
     path = str(tmp_path / "deep" / "model")
     model.save(path)
@@ -154,7 +163,7 @@ def test_save_and_load(spark, train, model, tmp_path):
 
 def test_large_vocabulary_scores_alike(train, model, monkeypatch):
     whole = {r[0]: r[1] for r in mo.decision_function(train, model).collect()}
-    monkeypatch.setattr(ft, "BROADCAST_TERMS", 20)
+    monkeypatch.setattr(ft, "BROADCAST_BYTES", 9000)
     monkeypatch.setattr(ft, "FREQUENT_SHARE", 0.2)
     parts = {r[0]: r[1] for r in mo.decision_function(train, model).collect()}
     assert parts.keys() == whole.keys()

@@ -15,6 +15,7 @@ from triage import fixed_values as fv
 from triage.operators.columns import require_columns
 
 Labels = Sequence[str]
+METRICS = ("precision", "recall", "f1")
 
 
 def _labels(labels: Labels) -> Column:
@@ -34,15 +35,18 @@ def confusion_counts(predictions: DataFrame) -> DataFrame:
 
 def confusion_matrix(counts: DataFrame, labels: Labels = fv.CATEGORIES) -> DataFrame:
     """Rows of true labels, columns of predicted labels, zero-filled, per split."""
-    true = counts.where(F.col("y_true").isin(*labels))
-    empty = (
-        counts.select("split")
-        .distinct()
-        .select("split", F.explode(_labels(labels)).alias("y_true"))
-        .select("split", "y_true", F.lit(None).cast("string").alias("y_pred"), F.lit(0).alias("n"))
+    rows = F.array(
+        F.struct("y_true", "y_pred", "n"),
+        *[
+            F.struct(
+                F.lit(x).alias("y_true"), F.lit(x).alias("y_pred"), F.lit(0).cast("long").alias("n")
+            )
+            for x in labels
+        ],
     )
-    wide = (
-        true.unionByName(empty)
+    return (
+        counts.select("split", F.inline(rows))
+        .where(F.col("y_true").isin(*labels))
         .groupBy("split", "y_true")
         .agg(
             *[
@@ -53,105 +57,104 @@ def confusion_matrix(counts: DataFrame, labels: Labels = fv.CATEGORIES) -> DataF
             ]
         )
     )
-    return wide
 
 
-def metrics_per_class(counts: DataFrame, labels: Labels = fv.CATEGORIES) -> DataFrame:
-    """Precision, recall, F1 and support per split and label; 0 on zero division."""
-    hit = F.col("y_true") == F.col("y_pred")
-    sides = F.array(
-        F.struct(
-            F.col("y_true").alias("label"),
-            F.col("n").alias("support"),
-            F.lit(0).cast("long").alias("predicted"),
-            F.when(hit, F.col("n")).otherwise(0).cast("long").alias("hits"),
-        ),
-        F.struct(
-            F.col("y_pred").alias("label"),
-            F.lit(0).cast("long").alias("support"),
-            F.col("n").alias("predicted"),
-            F.lit(0).cast("long").alias("hits"),
-        ),
-    )
-    seen = counts.select("split", F.inline(sides)).where(F.col("label").isin(*labels))
+def _tallies(counts: DataFrame, labels: Labels) -> DataFrame:
+    """``(split, label, support, predicted, hits)``; a null label stands for all rows.
+
+    Each count is unfolded into what it adds to its true label, its predicted label and
+    the total, and into a zero for every declared label, so all come from one reading.
+    """
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("long")
-    unseen = counts.select("split").distinct().select(
-        "split",
-        F.explode(_labels(labels)).alias("label"),
-        zero.alias("support"),
-        zero.alias("predicted"),
-        zero.alias("hits"),
-    )
-    sums = (
-        seen.unionByName(unseen)
+
+    def part(label: Column, support: Column, predicted: Column, hits: Column) -> Column:
+        return F.struct(
+            label.cast("string").alias("label"),
+            support.cast("long").alias("support"),
+            predicted.cast("long").alias("predicted"),
+            hits.cast("long").alias("hits"),
+        )
+
+    n = F.col("n")
+    total = F.lit(None)
+    parts = [
+        part(F.when(F.col("y_true").isin(*labels), F.col("y_true")), n, zero, hit),
+        part(F.when(F.col("y_pred").isin(*labels), F.col("y_pred")), zero, n, zero),
+    ]
+    # Labels outside the declared ones count towards the total only.
+    known = F.filter(F.array(*parts), lambda x: x["label"].isNotNull())
+    fixed = F.array(part(total, n, n, hit), *[part(F.lit(x), zero, zero, zero) for x in labels])
+    return (
+        counts.select("split", F.inline(F.concat(known, fixed)))
         .groupBy("split", "label")
         .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
     )
-    rated = sums.withColumns(
+
+
+def _rated(counts: DataFrame, labels: Labels) -> DataFrame:
+    """Tallies with precision, recall and F1; in the null label these are the accuracy."""
+    rated = _tallies(counts, labels).withColumns(
         {
             "precision": _ratio(F.col("hits"), F.col("predicted")),
             "recall": _ratio(F.col("hits"), F.col("support")),
         }
     )
-    f1 = _ratio(
-        2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")
-    )
-    return rated.select("split", "label", "precision", "recall", f1.alias("f1"), "support")
+    both = F.col("precision") + F.col("recall")
+    return rated.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), both))
 
 
-def _averages(per_class: DataFrame, names: Sequence[str]) -> list[Column]:
-    size = F.sum("support")
-    macro = [F.avg(c).alias(f"macro_{c}") for c in names]
-    weighted = [
-        _ratio(F.sum(F.col(c) * F.col("support")), size).alias(f"weighted_{c}") for c in names
-    ]
-    return [*macro, *weighted]
+def metrics_per_class(counts: DataFrame, labels: Labels = fv.CATEGORIES) -> DataFrame:
+    """Precision, recall, F1 and support per split and label; 0 on zero division."""
+    rated = _rated(counts, labels).where(F.col("label").isNotNull())
+    return rated.select("split", "label", "precision", "recall", "f1", "support")
+
+
+def _per_split(counts: DataFrame, labels: Labels) -> DataFrame:
+    """One row per split: accuracy, averages, size and the list of per-class metrics."""
+    of_class = F.col("label").isNotNull()
+    support = F.when(of_class, F.col("support"))
+    means = []
+    for c in METRICS:
+        value = F.when(of_class, F.col(c))
+        means.append(F.avg(value).alias(f"macro_{c}"))
+        means.append(_ratio(F.sum(value * support), F.sum(support)).alias(f"weighted_{c}"))
+    return (
+        _rated(counts, labels)
+        .groupBy("split")
+        .agg(
+            F.max(F.when(~of_class, F.col("recall"))).alias("accuracy"),
+            F.max(F.when(~of_class, F.col("support"))).alias("n"),
+            F.sum(support).alias("class_rows"),
+            F.collect_list(F.when(of_class, F.struct("label", *METRICS, "support"))).alias(
+                "per_class"
+            ),
+            *means,
+        )
+    )
 
 
 def metrics_overall(counts: DataFrame, labels: Labels = fv.CATEGORIES) -> DataFrame:
     """Accuracy, macro and weighted F1 and row count per split."""
-    hit = F.col("y_true") == F.col("y_pred")
-    totals = counts.groupBy("split").agg(
-        (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-        F.sum("n").alias("n"),
-    )
-    per_class = metrics_per_class(counts, labels)
-    f1 = per_class.groupBy("split").agg(*_averages(per_class, ("f1",)))
-    return totals.join(f1, "split").select("split", "accuracy", "macro_f1", "weighted_f1", "n")
+    return _per_split(counts, labels).select("split", "accuracy", "macro_f1", "weighted_f1", "n")
 
 
 def classification_report(counts: DataFrame, labels: Labels = fv.CATEGORIES) -> DataFrame:
     """Per-class rows, then accuracy, macro and weighted averages, per split."""
-    names = ("precision", "recall", "f1")
-    per_class = metrics_per_class(counts, labels)
-    wide = per_class.groupBy("split").agg(
-        *_averages(per_class, names), F.sum("support").alias("support")
-    )
-    averages = wide.select(
-        "split",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f"{kind} avg").alias("label"),
-                        *[F.col(f"{kind}_{c}").alias(c) for c in names],
-                        F.col("support"),
-                    )
-                    for kind in ("macro", "weighted")
-                ]
-            )
-        ),
-    )
-    none = F.lit(None).cast("double")
-    accuracy = metrics_overall(counts, labels).select(
-        "split",
-        F.lit("accuracy").alias("label"),
-        none.alias("precision"),
-        none.alias("recall"),
-        F.col("accuracy").alias("f1"),
-        F.col("n").alias("support"),
+
+    def line(label: str, values: Sequence[Column], support: str) -> Column:
+        cells = [v.cast("double").alias(c) for v, c in zip(values, METRICS)]
+        return F.struct(F.lit(label).alias("label"), *cells, F.col(support).alias("support"))
+
+    none = F.lit(None)
+    extra = F.array(
+        line("accuracy", [none, none, F.col("accuracy")], "n"),
+        *[
+            line(f"{kind} avg", [F.col(f"{kind}_{c}") for c in METRICS], "class_rows")
+            for kind in ("macro", "weighted")
+        ],
     )
-    return per_class.unionByName(accuracy).unionByName(averages)
+    return _per_split(counts, labels).select("split", F.inline(F.concat("per_class", extra)))
 
 
 def metrics_compare(
@@ -204,15 +207,16 @@ def threshold_sweep(
         )
     )
     # Every split gets all levels, so that a threshold no ticket sits on is reported.
-    levels = F.array(*[F.lit(i) for i in range(len(steps) + 1)])
-    empty = per_level.select("split").distinct().select(
-        "split",
-        F.explode(levels).alias("level"),
-        F.lit(0).cast("long").alias("n"),
-        F.lit(0).cast("long").alias("right"),
+    zero = F.lit(0).cast("long")
+    levels = F.array(
+        F.struct("level", "n", "right"),
+        *[
+            F.struct(F.lit(i).alias("level"), zero.alias("n"), zero.alias("right"))
+            for i in range(len(steps) + 1)
+        ],
     )
     filled = (
-        per_level.unionByName(empty)
+        per_level.select("split", F.inline(levels))
         .groupBy("split", "level")
         .agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
     )
@@ -280,24 +284,26 @@ def quality_gate(
 
 def metrics_document(counts: DataFrame, labels: Labels = fv.CATEGORIES) -> DataFrame:
     """One nested row per split, for a JSON sink."""
-    per_class = metrics_per_class(counts, labels)
-    nested = per_class.groupBy("split").agg(
-        F.sort_array(
-            F.collect_list(F.struct("label", "precision", "recall", "f1", "support"))
-        ).alias("per_class")
-    )
+    cells = F.array(*[F.col(f"`{x}`") for x in labels])
     matrix = (
         confusion_matrix(counts, labels)
         .groupBy("split")
         .agg(
-            F.sort_array(
-                F.collect_list(F.struct("y_true", F.array(*[F.col(f"`{x}`") for x in labels]).alias("row")))
-            ).alias("confusion_matrix")
+            F.sort_array(F.collect_list(F.struct("y_true", cells.alias("row")))).alias(
+                "confusion_matrix"
+            )
         )
     )
     return (
-        metrics_overall(counts, labels)
-        .join(nested, "split")
+        _per_split(counts, labels)
+        .select(
+            "split",
+            "accuracy",
+            "macro_f1",
+            "weighted_f1",
+            "n",
+            F.sort_array("per_class").alias("per_class"),
+        )
         .join(matrix, "split")
         .withColumn("labels", _labels(labels))
     )

@@ -25,9 +25,10 @@ from triage.sources.folders import write_table, write_through
 BLOCKS = ("word", "char")
 BLOCK_WEIGHTS = {"word": fv.WORD_BLOCK_WEIGHT, "char": fv.CHAR_BLOCK_WEIGHT}
 
-# A vocabulary of up to this many terms is broadcast (some 150 MB); of a larger one
-# only the frequent terms are, and the rest is joined by shuffle.
-BROADCAST_TERMS = 1_500_000
+# A term table of up to this size is broadcast; of a larger one only the frequent terms
+# are, and the rest is joined by shuffle. A row is counted as its term and its fixed part.
+BROADCAST_BYTES = 256 * 1024 * 1024
+ROW_BYTES = 120
 FREQUENT_SHARE = 0.001
 
 
@@ -47,7 +48,8 @@ def count_terms(
 ) -> DataFrame:
     """``(ticket_id, …keep, block, term, tf)``: a map-only stage.
 
-    ``keep_empty`` leaves one record with a null term for tickets without terms.
+    ``keep_empty`` leaves one record with a null term for tickets without terms, and
+    marks the first record of each ticket in a column ``first``.
     """
     tx.require_string(df, text)
 
@@ -55,8 +57,12 @@ def count_terms(
         return tx.term_counts(block_terms(F.col("_clean"), block), block=F.lit(block))
 
     cleaned = df.select(id_column, *keep, tx.clean_text_or_empty(text).alias("_clean"))
-    unfold = F.inline_outer if keep_empty else F.inline
-    return cleaned.select(id_column, *keep, unfold(F.concat(*[of_block(b) for b in blocks])))
+    found = F.concat(*[of_block(b) for b in blocks])
+    if not keep_empty:
+        return cleaned.select(id_column, *keep, F.inline(found))
+    placed = cleaned.select(id_column, *keep, F.posexplode_outer(found).alias("_at", "_item"))
+    first = F.coalesce(F.col("_at") == 0, F.lit(True))
+    return placed.select(id_column, *keep, "_item.*", first.alias("first"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -116,6 +122,7 @@ class TfidfModel:
 
     terms: DataFrame
     n_terms: int
+    n_bytes: int
     n_docs: int
 
 
@@ -139,14 +146,21 @@ def fit_tfidf(
         prune(counted, F.lit(n_docs), min_df=min_df, max_df=max_df), "kept-terms"
     )
     terms = write_through(with_index(with_idf(kept, F.lit(n_docs))), "vocabulary")
-    return TfidfModel(terms, terms.count(), n_docs)
+    return TfidfModel(terms, *table_size(terms), n_docs)
+
+
+def table_size(terms: DataFrame) -> tuple[int, int]:
+    """Rows and approximate bytes of a term table."""
+    letters = F.coalesce(F.sum(F.octet_length("term")), F.lit(0))
+    row = terms.agg(F.count(F.lit(1)).alias("rows"), letters.alias("letters")).first()
+    return row["rows"], row["letters"] + ROW_BYTES * row["rows"]
 
 
 def look_up_terms(
     counts: DataFrame,
     terms: DataFrame,
     *,
-    n_terms: int,
+    n_bytes: int,
     n_docs: int,
     how: str = "inner",
 ) -> DataFrame:
@@ -158,11 +172,11 @@ def look_up_terms(
     ticket's terms, and any other key has less than a thousandth of the tickets.
     """
     keys = ["block", "term"]
-    if n_terms <= BROADCAST_TERMS:
+    if n_bytes <= BROADCAST_BYTES:
         return counts.join(F.broadcast(terms), keys, how)
     floor = max(1.0, FREQUENT_SHARE * n_docs)
     frequent = terms.where(F.col("df") >= floor)
-    while frequent.count() > BROADCAST_TERMS:
+    while table_size(frequent)[1] > BROADCAST_BYTES:
         floor *= 2
         frequent = terms.where(F.col("df") >= floor)
     hot = counts.join(F.broadcast(frequent), keys)
@@ -191,7 +205,7 @@ def tfidf(
     """
     tickets = by_ticket(df.select(id_column, text), id_column)
     counts = count_terms(tickets, text, blocks=blocks, id_column=id_column)
-    found = look_up_terms(counts, model.terms, n_terms=model.n_terms, n_docs=model.n_docs)
+    found = look_up_terms(counts, model.terms, n_bytes=model.n_bytes, n_docs=model.n_docs)
     raw = found.select(id_column, "block", "term", "idx", _raw_weight().alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_column, "block")))
     scale = block_scale() if weighted else F.lit(1.0)
@@ -223,7 +237,7 @@ def sparse_rows(
     tickets = by_ticket(df.select(id_column, *keep, text), id_column)
     counts = count_terms(tickets, text, id_column=id_column, keep=keep, keep_empty=True)
     found = look_up_terms(
-        counts, model.terms, n_terms=model.n_terms, n_docs=model.n_docs, how="left"
+        counts, model.terms, n_bytes=model.n_bytes, n_docs=model.n_docs, how="left"
     ).withColumn("_w", _raw_weight())
 
     def length(block: str) -> Column:

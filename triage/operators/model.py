@@ -22,7 +22,7 @@ from triage.sources.folders import write_through
 
 # Coefficients are dense on the driver while fitting, some 200 bytes a term and class.
 # More terms call for a higher min_df, which is why fitting refuses instead of cutting.
-MAX_TERMS = 20_000_000
+MAX_TERMS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ class TopicModel:
     classes: tuple[str, ...]
     intercepts: tuple[float, ...]
     n_terms: int
+    n_bytes: int
     n_docs: int
 
     def save(self, path: str) -> None:
@@ -45,6 +46,7 @@ class TopicModel:
             F.array(*[F.lit(c) for c in self.classes]).alias("classes"),
             F.array(*[F.lit(b) for b in self.intercepts]).alias("intercepts"),
             F.lit(self.n_terms).cast("long").alias("n_terms"),
+            F.lit(self.n_bytes).cast("long").alias("n_bytes"),
             F.lit(self.n_docs).cast("long").alias("n_docs"),
         )
         facts.write.mode("overwrite").parquet(f"{path}/facts")
@@ -57,6 +59,7 @@ class TopicModel:
             tuple(facts["classes"]),
             tuple(facts["intercepts"]),
             facts["n_terms"],
+            facts["n_bytes"],
             facts["n_docs"],
         )
 
@@ -129,6 +132,7 @@ def fit_topics(
         tuple(names),
         tuple(float(c[-1]) for c in columns),
         vocab.n_terms,
+        vocab.n_bytes + 8 * len(names) * vocab.n_terms,
         vocab.n_docs,
     )
 
@@ -152,13 +156,14 @@ def decision_function(
     """``(ticket_id, scores)``: raw score per class.
 
     Terms are counted in the row and looked up next to it; each task sums a ticket's
-    terms before the exchange, which carries one short record per ticket.
+    terms before the exchange, which carries one short record per ticket. Copies of a
+    text that share an id are scored as one.
     """
     counts = ft.count_terms(df, text, id_column=id_column, keep_empty=True)
     found = ft.look_up_terms(
-        counts, model.terms, n_terms=model.n_terms, n_docs=model.n_docs, how="left"
+        counts, model.terms, n_bytes=model.n_bytes, n_docs=model.n_docs, how="left"
     ).withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    sums = []
+    sums = [F.count_if("first").alias("_copies")]
     for block in ft.BLOCKS:
         here = F.col("block") == block
         sums.append(F.sum(F.when(here, F.col("_w") * F.col("_w"))).alias(f"_{block}"))
@@ -170,7 +175,8 @@ def decision_function(
     def score(i: int) -> Column:
         parts = [
             F.coalesce(
-                F.try_divide(F.col(f"_{b}_{i}"), F.sqrt(F.col(f"_{b}"))), F.lit(0.0)
+                F.try_divide(F.col(f"_{b}_{i}"), F.sqrt(F.col(f"_{b}") * F.col("_copies"))),
+                F.lit(0.0),
             )
             * ft.BLOCK_WEIGHTS[b]
             for b in ft.BLOCKS

@@ -15,9 +15,10 @@ from triage.operators.columns import by_ticket
 
 Phrases = Sequence[tuple[str, float]] | Mapping[str, float]
 
-# A lexicon table of up to this many words is sent to every executor; a larger one
-# is joined by shuffle. At about 100 bytes a word this is 100 MB.
-BROADCAST_WORDS = 1_000_000
+# A lexicon table of up to this size is sent to every executor; a larger one is joined
+# by shuffle. A row is counted as its word and its fixed part.
+BROADCAST_BYTES = 128 * 1024 * 1024
+ROW_BYTES = 80
 
 
 def phrases_from_frame(df: DataFrame) -> list[tuple[str, float]]:
@@ -132,8 +133,8 @@ def analyze_sentiment_by_join(
 ) -> DataFrame:
     """As ``analyze_sentiment`` with the lexicon as a table ``(token, kind, value)``.
 
-    For word lists too long for a literal. Counts the lexicon first: it is broadcast
-    only up to ``BROADCAST_WORDS`` words. The tickets are partitioned by id before they
+    For word lists too long for a literal. Measures the lexicon first: it is broadcast
+    only up to ``BROADCAST_BYTES``. Ids must be unique. The tickets are partitioned by id before they
     are cut into words, so words are looked up and put back together in place.
     """
     tx.require_string(df, text)
@@ -142,7 +143,8 @@ def analyze_sentiment_by_join(
         F.max(F.when(F.col("kind") == "degree", F.col("value").cast("double"))).alias("_degree"),
         F.max(F.col("kind") == "negation").alias("_negates"),
     )
-    if words.count() <= BROADCAST_WORDS:
+    size = words.agg(F.sum(F.octet_length("_word") + ROW_BYTES)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         words = F.broadcast(words)
     tickets = by_ticket(df, id_column)
     pieces = tickets.where(tx.has_content(text)).select(
