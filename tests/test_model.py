@@ -102,6 +102,12 @@ def test_coefficients_equal_a_dense_newton_solver(train):
         assert abs(fitted.intercepts[k] - w[-1]) < 1e-6
 
 
+def test_tree_merge_gives_the_same_model(train, model, monkeypatch):
+    monkeypatch.setattr(solver, "DRIVER_BYTES", 0)
+    again = mo.fit_topics(train.repartition(6))
+    assert again.intercepts == pytest.approx(model.intercepts, abs=1e-6)
+
+
 def test_canonical_tickets(spark, model):
     asked = table(spark, CANONICAL)
     got = {r["ticket_id"]: r["category"] for r in mo.predict(asked, model).collect()}

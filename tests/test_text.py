@@ -147,3 +147,10 @@ def test_term_counts(apply):
     for value, counted in zip(["aaa aaa", "", "ab"], got):
         grams = char_grams(value)
         assert {r["term"]: r["tf"] for r in counted} == {g: grams.count(g) for g in set(grams)}
+
+
+def test_char_ngram_bag_holds_the_same_ngrams(apply):
+    values = ["hi", "a", "", "  ", "log in é", "longer words 😀x 😀😀 x😀y", "a\tb  c\u0085dd", "x" * 9]
+    values += [raw for raw, _ in CLEANED]
+    got = apply(tx.char_ngram_bag, values)
+    assert [sorted(g) for g in got] == [sorted(char_grams(v)) for v in values]

@@ -174,6 +174,25 @@ def char_ngrams(c: Column | str, span: tuple[int, int] = fv.CHAR_NGRAMS) -> Colu
     return F.flatten(F.transform(words(c), lambda w: ngrams_of_word(w, span)))
 
 
+def char_ngram_bag(c: Column | str, span: tuple[int, int] = fv.CHAR_NGRAMS) -> Column:
+    """``char_ngrams`` in no particular order, found by one pattern per length.
+
+    With words set two blanks apart, an n-gram inside word bounds is any n characters
+    whose inner ones are not blank. A look-ahead finds them at every place; it may not
+    begin inside a surrogate pair.
+    """
+    low, high = span
+    spaced = F.concat(F.lit(" "), F.replace(normalize_whitespace(c), F.lit(" "), F.lit("  ")), F.lit(" "))
+
+    def grams(padded: Column, n: int) -> Column:
+        inner = "[^ ]" * (n - 2)
+        return F.regexp_extract_all(
+            padded, F.lit(rf"(?s)(?=([^\uDC00-\uDFFF]{inner}.))"), F.lit(1)
+        )
+
+    return let(spaced, lambda p: F.concat(*[grams(p, n) for n in range(low, high + 1)]))
+
+
 def term_counts(terms: Column, **constants: Column) -> Column:
     """``array<struct<…constants, term, tf>>`` of an array of terms, inside the row.
 

@@ -34,7 +34,7 @@ FREQUENT_SHARE = 0.001
 
 def block_terms(text: Column | str, block: str) -> Column:
     """All n-grams of one block of a cleaned text, repeats included."""
-    return tx.word_ngrams(text) if block == "word" else tx.char_ngrams(text)
+    return tx.word_ngrams(text) if block == "word" else tx.char_ngram_bag(text)
 
 
 def count_terms(
