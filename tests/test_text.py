@@ -28,6 +28,7 @@ CLEANED = [
     (" no break　spaces\u0085", "no break spaces"),
     ("&amp; stays", "&amp; stays"),
     ("trailing@ sign and @leading", "trailing@ sign and @leading"),
+    ("x@a.b.@_c.d x@a.be-@f.g", ""),
 ]
 
 
@@ -75,11 +76,9 @@ PIECES = st.sampled_from(
 )
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(PIECES, max_size=14).map("".join), min_size=40, max_size=60))
 def test_clean_text_equals_the_python_rules(apply, values):
-    # A dot right after another address is the one known difference.
-    values = [v for v in values if not re.search(r"@[^\s]*@|\.\.|[.-]@|@[.-]", v)]
     assert apply(tx.clean_text, values) == [plain_clean(v) for v in values]
 
 

@@ -25,9 +25,11 @@ NON_WORD = r"[^\p{L}\p{N}_]+"
 # linear on long unbroken junk, where every start would else be tried again.
 HTML_TAG = "<[^>]++>"
 URL = rf"https?://{NON_SPACE}++|www\.{NON_SPACE}++"
+WORD = r"\p{L}\p{N}_"
+# An address begins where a word begins, or at a dot or dash that ends one.
 EMAIL = (
-    r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_][\p{L}\p{N}_.-]*+"
-    r"@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
+    rf"(?:(?<![{WORD}])[{WORD}]|(?<=[{WORD}])[.-])[{WORD}.-]*+"
+    rf"@[{WORD}.-]+\.[{WORD}]+"
 )
 
 
