@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import (
-    documents,
     labelled,
-    names,
     q,
     split_tickets,
     sql_words,
@@ -15,7 +13,6 @@ from queries.common import (
     with_ctes,
 )
 from triage import fixed_values as fv
-from triage.functions import text as tx
 from triage.operators import profile as pr
 from triage.operators import weights as wt
 
@@ -26,6 +23,15 @@ def r6(*columns):
     return [F.round(c, 6).alias(c) for c in columns]
 
 
+def numbered(table):
+    return table.withColumn("cat_no", F.col("cat_no").cast("long"))
+
+
+def top_words(spark, d):
+    ranked = pr.top_words(tickets(spark, d), n=12)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
+
+
 def category_counts(spark, d):
     return pr.distribution_zero_filled(labelled(spark, d)).drop("cat_no")
 
@@ -40,9 +46,7 @@ def column_profile(spark, d):
 
 def describe_length(spark, d):
     stats = pr.describe_length(tickets(spark, d))
-    return stats.select(
-        "n", *r6("mean", "std"), *[F.col(c).cast("double").alias(c) for c in DESCRIBED]
-    )
+    return stats.select("n", *r6("mean", "std"), "min", "p25", "p50", "p75", "max")
 
 
 def length_histogram(spark, d):
@@ -58,7 +62,7 @@ def length_boxplot(spark, d):
 
 def split_comparison(spark, d):
     table = pr.split_comparison(split_tickets(spark, d))
-    return table.withColumn("share_overall", F.round("share_overall", 6))
+    return numbered(table.withColumn("share_overall", F.round("share_overall", 6)))
 
 
 def split_drift(spark, d):
@@ -90,7 +94,6 @@ def majority_baseline(spark, d):
 
 
 PROFILED = ("subject", "body", "queue", "type", "tag_1", "priority", "language")
-DESCRIBED = ("min", "p25", "p50", "p75", "max")
 LENGTHS = "SELECT type, length(body) AS v FROM tickets WHERE body IS NOT NULL"
 WORDS = f"SELECT *, len({sql_words('text')}) AS wc FROM labelled"
 FILLED = (
@@ -189,7 +192,7 @@ QUERIES = {
         ),
     ),
     "top_words": (
-        lambda spark, d: pr.top_words(tickets(spark, d), n=12),
+        top_words,
         with_ctes(
             "SELECT * FROM (SELECT type, word, n, row_number() OVER (PARTITION BY type "
             "ORDER BY n DESC, word) AS rank FROM (SELECT type, word, count(*) AS n FROM ("
@@ -209,8 +212,8 @@ QUERIES = {
         ),
     ),
     "distribution_zero_filled": (
-        lambda spark, d: pr.distribution_zero_filled(
-            labelled(spark, d).where(F.col("category") != "Billing")
+        lambda spark, d: numbered(
+            pr.distribution_zero_filled(labelled(spark, d).where(F.col("category") != "Billing"))
         ),
         with_ctes(
             "SELECT cat_no, category, CASE WHEN category = 'Billing' THEN 0 "

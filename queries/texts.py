@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import (
-    SP,
     documents,
     labelled,
     names,
@@ -62,7 +61,7 @@ def validate_tickets(spark, d):
         .otherwise(F.col("customer_plan")),
     )
     return tr.validate_tickets(rows).select(
-        "ticket_id", "customer_plan", F.length("text").alias("n_chars"), "reject_reason"
+        "ticket_id", "customer_plan", F.length("text").cast("long").alias("n_chars"), "reject_reason"
     )
 
 
