@@ -51,7 +51,8 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(REGISTRY) <= set(entry.queries())
+    missing = set(REGISTRY) - set(entry.oracle_sql())
     assert missing == {
         "train_category", "train_quality", "top_features", "predict_category", "classify_model"
     }
