@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import language, licenses, line_runs, mixing, toxicity, winnowing
+from triage.llm import hnsw, language, licenses, line_runs, mixing, pieces, simhash, toxicity, warc, winnowing
 from triage.llm.tables import id_remainder
+from triage.sources.folders import work_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +21,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+#: The model file as the driver sees it; another path can be set in this environment variable.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 #: Sources of the fixture by domain, and target weights by path in percent.
 BOOK_SOURCES = tuple(f"src{i}" for i in range(12, 20))
 MIX_WEIGHTS = {
@@ -28,6 +35,11 @@ MIX_WEIGHTS = {
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 4, 7
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = hnsw.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return out
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.when(F.col("source").isin(*BOOK_SOURCES), "books").otherwise("web")
     out, _ = mixing.mix(_documents(spark, sf_dir), domain, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
@@ -41,6 +53,17 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(_documents(spark, sf_dir), Path(PIECE_MODEL).read_bytes())
+    return encoded.select(
+        "doc_id",
+        F.size("ids").alias("n_tokens"),
+        F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"),
+        "round_trip",
+        "parity",
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -65,6 +88,17 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = simhash.near_duplicates(_documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.records(warc.read(spark, folder))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edits(_documents(spark, sf_dir))
 
@@ -85,6 +119,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hnsw": op1_hnsw,
+    "op3_pieces": op3_pieces,
+    "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op2_mixture": op2_mixture,
     "op4_toxicity": op4_toxicity,
     "op5_line_runs": op5_line_runs,
