@@ -1,0 +1,120 @@
+import hashlib
+import random
+
+import pytest
+import xxhash
+
+from pyspark.sql import functions as F
+from triage.llm import winnowing as W
+from triage.llm.queries import op9_winnowing
+
+MASK = (1 << 64) - 1
+
+
+def xx(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def brute_prints(tokens, k, w):
+    """(hash, position) by the definition: the rightmost smallest hash of every window."""
+
+    def joined(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
+        return h
+
+    h = [xx(t.encode()) for t in tokens]
+    if not h:
+        return []
+    # An array and a list of columns are hashed alike, each value seeding the next.
+    runs = [joined(h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else [joined(h)]
+    runs = [r >> 27 for r in runs]
+    if len(runs) <= w:
+        windows = [range(len(runs))]
+    else:
+        windows = [range(i, i + w) for i in range(len(runs) - w + 1)]
+    out = []
+    for win in windows:
+        best = min(runs[i] for i in win)
+        p = (best, max(i for i in win if runs[i] == best))
+        if p not in out:
+            out.append(p)
+    return out
+
+
+def words(t):
+    return t.lower().replace("\t", " ").replace("\n", " ").split(" ") if t else []
+
+
+def prints(t):
+    w = brute_prints([x for x in words(t) if x], W.WORD_K, W.WORD_W)
+    c = brute_prints(list(t.lower()), W.CHAR_K, W.CHAR_W) if len(t) < W.SHORT else None
+    return w, c
+
+
+def near(a, b):
+    x, y = (a[1], b[1]) if a[1] is not None and b[1] is not None else (a[0], b[0])
+    x, y = {h for h, _ in x}, {h for h, _ in y}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.fixture
+def rows():
+    rng = random.Random(4)
+    out = [(1, ""), (2, None), (3, "a"), (5, "one two three"), (9, "café 你好 \U0001f600 x"), (12, "a a a a a a a a a a a a a a a")]
+    for i in range(40):
+        out.append((20 + 3 * i, " ".join(rng.choice("aa bb cc dd ee".split()) for _ in range(rng.randint(1, 300)))))
+    out.append((200, "zz " * 3000))
+    return out
+
+
+def test_equals_brute_force(docs, rows):
+    got = {r["doc_id"]: r for r in W.compare_with_edits(docs(rows, extra=True)).collect()}
+    texts = [(i, t or "") for i, t in sorted(rows)]
+    assert len(got) == len(rows)
+    seen = {}
+    for k, (i, t) in enumerate(texts):
+        nxt = texts[(k + 1) % len(texts)][1]
+        e = len(t) // 4
+        edited = t[: len(t) - e] + nxt[:e]
+        r = got[i]
+        assert r["n_chars"] == len(t)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == pytest.approx(near(prints(t), prints(edited))), i
+        assert r["near_next"] == pytest.approx(near(prints(t), prints(nxt))), i
+        seen.setdefault(tuple(map(str, prints(t))), set()).add(r["fingerprint"])
+    assert all(len(x) == 1 for x in seen.values())
+
+
+def test_prints_hold_hash_and_position(spark, rows):
+    df = spark.createDataFrame([(i, t or "") for i, t in rows], "doc_id long, text string")
+    df = W.with_prints(df, "text", "w", "c").select("doc_id", "text", W.positions(F.col("w")).alias("w"))
+    for r in df.collect():
+        assert [(x["hash"], x["position"]) for x in r["w"]] == prints(r["text"])[0]
+
+
+def test_native_plan_and_odd_rows(docs, odd_rows, no_python):
+    df = W.compare_with_edits(docs(odd_rows))
+    no_python(df)
+    rows_ = df.collect()
+    assert len(rows_) == len(odd_rows)
+    twins = [r for r in rows_ if r["doc_id"] == 2]
+    assert twins[0]["fingerprint"] == twins[1]["fingerprint"]
+
+
+def test_one_document_is_its_own_next(docs):
+    r = W.compare_with_edits(docs([(7, "abcd efgh")])).first()
+    assert r["near_next"] == 1.0
+    assert r["edited_sha256"] == hashlib.sha256(b"abcd efab").hexdigest()
+
+
+def test_empty_table(docs):
+    assert W.compare_with_edits(docs([])).count() == 0
+
+
+def test_query_reads_all_documents(spark, no_python):
+    sf = "/root/testdata/sf0.001"
+    df = op9_winnowing(spark, sf)
+    no_python(df)
+    assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()

@@ -131,40 +131,55 @@ def fit(
 REMEMBERED = 400_000
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score (share of the best language, softened by the text's length)."""
+def predict(docs: DataFrame, model: LanguageModel, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (share of the best language, softened by the text's length).
+
+    With ``carry`` all columns of ``docs`` come first, and the two are named _lang_pred and
+    _lang_score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[dict]) -> Iterator[dict]:
+    def judge(texts: list[str | None], places: dict[str, int], table: np.ndarray) -> tuple[list, list, np.ndarray]:
         m = shared.value
         k = len(m.languages)
+        out, shares = [], []
+        for text in texts:
+            words = words_of(text)
+            if not words or not k:
+                out.append(UNKNOWN)
+                shares.append(0.0)
+                continue
+            if len(places) > REMEMBERED:
+                places.clear()
+            for w in set(words).difference(places):
+                at = places[w] = len(places)
+                if at >= len(table):
+                    table = np.concatenate([table, np.zeros_like(table)])
+                table[at] = m.word_scores(w)
+            total = table[[places[w] for w in words]].sum(0)
+            if not total.any():
+                out.append(m.languages[int(np.argmax(m.rows))])
+                shares.append(1.0 / k)
+                continue
+            best = int(np.argmax(total))
+            soft = np.exp((total - total[best]) / np.sqrt(len(words)))
+            out.append(m.languages[best])
+            shares.append(float(1.0 / soft.sum()))
+        return out, shares, table
+
+    def score(batches: Iterator[dict]) -> Iterator[dict]:
         places: dict[str, int] = {}
-        table = np.zeros((1024, max(k, 1)))
-        common = int(np.argmax(m.rows)) if k else 0
+        table = np.zeros((1024, max(len(shared.value.languages), 1)))
         for b in batches:
-            out, shares = [], []
-            for text in b["text"]:
-                words = words_of(text)
-                if not words or not k:
-                    out.append(UNKNOWN)
-                    shares.append(0.0)
-                    continue
-                if len(places) > REMEMBERED:
-                    places.clear()
-                for w in set(words).difference(places):
-                    at = places[w] = len(places)
-                    if at >= len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[at] = m.word_scores(w)
-                total = table[[places[w] for w in words]].sum(0)
-                if not total.any():
-                    out.append(m.languages[common])
-                    shares.append(1.0 / k)
-                    continue
-                best = int(np.argmax(total))
-                soft = np.exp((total - total[best]) / np.sqrt(len(words)))
-                out.append(m.languages[best])
-                shares.append(float(1.0 / soft.sum()))
-            yield {"doc_id": b["doc_id"], "lang_pred": out, "score": shares}
-
-    return map_lists(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, lang_pred string, score double", score)
+            found, shares, table = judge(b["text"], places, table)
+            if carry:
+                yield {**b, "_lang_pred": found, "_lang_score": shares}
+            else:
+                yield {"doc_id": b["doc_id"], "lang_pred": found, "score": shares}
+
+    if carry:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        return map_lists(docs, f"{columns}, _lang_pred string, _lang_score double", score)
+    return map_lists(
+        docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, lang_pred string, score double", score
+    )
