@@ -34,6 +34,7 @@ EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 END = b"\r\n\r\n"
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 #: An archive file is cut after so many records.
 RECORDS_PER_FILE = 2000
 
@@ -149,7 +150,9 @@ def parse_record(data: bytes, at: int) -> tuple[Found, int]:
         if line and not colon:
             raise Damaged("header line without colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    size = headers.get("content-length", "")
+    if missing := [x for x in MANDATORY if x not in headers]:
+        raise Damaged(f"no {missing[0]}")
+    size = headers["content-length"]
     if not size.isdigit():
         raise Damaged("no block length")
     start, stop = end + 4, end + 4 + int(size)
@@ -163,7 +166,7 @@ def parse_record(data: bytes, at: int) -> tuple[Found, int]:
             raise Damaged("HTTP head without end")
         lengths = re.findall(rb"(?im)^content-length:\s*(\d+)\s*$", head + b"\r\n")
         total = int(lengths[0]) if lengths else len(payload)
-    kind = headers.get("warc-type")
+    kind = headers["warc-type"]
     stated = headers.get("warc-payload-digest", "")
     if kind != "revisit" and stated.startswith("sha1:") and stated[5:] != digest_of(payload):
         raise Damaged("payload differs from its digest")
