@@ -113,6 +113,9 @@ def fit(
         .toPandas()
     )
     counts = items.iloc[:, 1:].fillna(0).to_numpy(dtype=np.float64)
+    learned = counts.sum(0) > 0  # a language all of whose texts are empty would get an even share
+    counts = counts[:, learned]
+    languages = [x for x, own in zip(languages, learned, strict=True) if own]
     kinds = items["item"].str[0].to_numpy()
     scores = np.zeros_like(counts)
     for kind in np.unique(kinds):
