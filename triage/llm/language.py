@@ -120,7 +120,10 @@ def fit(
     scores = np.zeros_like(counts)
     for kind in np.unique(kinds):
         own = kinds == kind
-        scores[own] = np.log((counts[own] + 0.1) / (counts[own].sum(0) + 0.1 * own.sum()))
+        total = counts[own].sum(0)
+        # What a language has not shown is as unlikely in each, however little of it was read.
+        extra = 0.1 * np.maximum(total, 1e-9) / max(total.max(), 1e-9)
+        scores[own] = np.log((counts[own] + extra) / (total + extra * own.sum() + 1e-12))
     table = dict(zip(items["item"], map(tuple, scores.tolist()), strict=True))
     return LanguageModel(
         languages,
