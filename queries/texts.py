@@ -114,8 +114,7 @@ def split_query(spark, d):
 
 def split_pieces() -> str:
     return (
-        "list_filter(string_split_regex(translate(" + sql_clean("text") + ", "
-        + q(tx.accent_table()[0]) + ", " + q(tx.accent_table()[1])
+        "list_filter(string_split_regex(strip_accents(" + sql_clean("text")
         + r"), '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2)"
     )
 

@@ -124,11 +124,85 @@ def accent_table() -> tuple[str, str]:
     return "".join(source + dropped), "".join(target)
 
 
+@cache
+def long_forms() -> tuple[str, tuple[str, ...]]:
+    """Characters whose plain form is not one character, and those forms; no Hangul syllables."""
+    source, forms = [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        ch = chr(code)
+        if unicodedata.combining(ch) or HANGUL <= code < HANGUL + 11172:
+            continue
+        plain = "".join(
+            p for p in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(p)
+        )
+        if len(plain) != 1:
+            source.append(ch)
+            forms.append(plain)
+    return "".join(source), tuple(forms)
+
+
+# Hangul syllables are numbered from here: 19 first parts by 21 middle parts by 28 last ones.
+HANGUL = 0xAC00
+
+
+def _hangul_parts(ch: Column) -> Column:
+    """The two or three parts a Hangul syllable is made of."""
+
+    def part(first: int, n: int, at: Column) -> Column:
+        letters = "".join(chr(first + i) for i in range(n))
+        return F.substr(F.lit(letters), at + 1, F.lit(1))
+
+    def parts(no: Column) -> Column:
+        last = F.pmod(no, F.lit(28))
+        return F.concat(
+            part(0x1100, 19, F.floor(no / 588).cast("int")),
+            part(0x1161, 21, F.floor(F.pmod(no, F.lit(588)) / 28).cast("int")),
+            F.when(last > 0, part(0x11A8, 27, last - 1)).otherwise(""),
+        )
+
+    return let(F.ascii(ch) - HANGUL, parts)
+
+
+@cache
+def _long_class() -> str:
+    """A pattern for the characters of ``long_forms`` and Hangul syllables."""
+    codes = [ord(ch) for ch in long_forms()[0]]
+    ranges = [[HANGUL, HANGUL + 11171]]
+    for code in codes:
+        if ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def strip_accents(c: Column | str) -> Column:
-    """Plain forms of accented letters; pure ASCII text is passed through."""
+    """Compatibility decomposition without combining marks; pure ASCII text is passed through.
+
+    Most characters become one other or vanish, which is one ``translate``. Only texts that hold
+    a character with a longer form are taken apart.
+    """
     source, target = accent_table()
+    longer, forms = long_forms()
+
+    def plain(ch: Column) -> Column:
+        at = F.instr(F.lit(longer), ch)
+        syllable = (ch >= chr(HANGUL)) & (ch <= chr(HANGUL + 11171)) & (F.length(ch) == 1)
+        return (
+            F.when(ch <= "\x7f", ch)
+            .when(syllable, _hangul_parts(ch))
+            .when(at > 0, F.get(F.lit(list(forms)), at - 1))
+            .otherwise(ch)
+        )
+
+    def expand(text: Column) -> Column:
+        taken_apart = F.array_join(F.transform(F.split(text, ""), plain), "")
+        return F.when(text.rlike(_long_class()), taken_apart).otherwise(text)
+
     text = column(c)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, source, target)).otherwise(text)
+    return F.when(
+        text.rlike(r"[^\x00-\x7F]"), let(F.translate(text, source, target), expand)
+    ).otherwise(text)
 
 
 def word_tokens(c: Column | str) -> Column:
