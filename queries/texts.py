@@ -11,7 +11,6 @@ from queries.common import (
     q,
     requests,
     split_tickets,
-    spread,
     sql_assemble,
     sql_clean,
     sql_emails,
@@ -70,13 +69,13 @@ def of_documents(function):
 
 
 def remove_html(spark, d):
-    pages = spread(table(spark, d, "pages"))
+    pages = table(spark, d, "pages")
     return pages.select("page_id", tx.remove_html("html").alias("out"))
 
 
 def clean_text(spark, d):
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("raw"))
-    pages = spread(table(spark, d, "pages")).select(
+    pages = table(spark, d, "pages").select(
         (-F.col("page_id") - 1).alias("id"), F.col("html").alias("raw")
     )
     return docs.unionByName(pages).select("id", tx.clean_text("raw").alias("out"))

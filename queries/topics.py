@@ -14,7 +14,6 @@ from queries.common import (
     sql_clean,
     sql_words,
     table,
-    spread,
     with_ctes,
 )
 from queries.texts import split_pieces
@@ -125,7 +124,7 @@ def train_category(spark, d):
 
 def train_quality(spark, d):
     """The other labelled target: document quality, two classes."""
-    docs = spread(table(spark, d, "documents")).select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     rows = docs.join(
         table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("category")),
         "doc_id",

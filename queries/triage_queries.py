@@ -14,7 +14,7 @@ from triage.functions import text as tx
 from triage.operators import report as rp
 from triage.operators import sentiment as se
 from triage.operators import triage_rules as tr
-from triage.plans.classify import classify
+from triage.plans.classify import classify, recent_classified, with_ticket_id
 from triage.sources.folders import work_folder
 from triage.streaming import online
 
@@ -140,11 +140,11 @@ def classify_rules(spark, d):
 
 
 def recent_tickets(spark, d):
-    classified = classify(requests(spark, d)).select("ticket_id", "category", "priority")
     stamps = table(spark, d, "events").select(
         F.col("event_id").cast("string").alias("ticket_id"), F.col("ts").alias("created_at")
     )
-    return rp.recent_tickets(classified.join(stamps, "ticket_id"))
+    stamped = with_ticket_id(requests(spark, d)).join(stamps, "ticket_id")
+    return recent_classified(stamped).select("ticket_id", "category", "priority", "created_at")
 
 
 def ticket_stats(spark, d):
@@ -154,8 +154,6 @@ def ticket_stats(spark, d):
 def _ticket_stream(spark, d):
     schema = table(spark, d, "documents").schema
     arriving = online.read_stream(spark, d, schema, pattern="documents.parquet")
-    # One small file is one task; use all cores on it.
-    arriving = arriving.repartition(spark.sparkContext.defaultParallelism)
     return fixtures.tickets(arriving).withColumn("text", tx.assemble_text("subject", "body"))
 
 
@@ -169,7 +167,7 @@ def stream_stats(spark, d):
     out, checkpoint = work_folder(spark, "stats"), work_folder(spark, "stats-progress")
     classified = classify(_ticket_stream(spark, d))
     online.stats_stream(classified, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    return online.read_stats(spark, out)
 
 
 # --- SQL --------------------------------------------------------------------------------------
@@ -349,7 +347,7 @@ CLASSIFIED = (
     + sql_priority("hits", sql_intensity("neg", "hits"), "customer_plan", "sure")
     + " AS score FROM (SELECT a.*, m.category, CAST(CASE WHEN m.category IS NULL THEN 0 ELSE 1 END "
     "AS DOUBLE) AS sure FROM analyzed a JOIN mapped m USING (ticket_id) "
-    f"WHERE length(text) BETWEEN 1 AND 8000 AND a.customer_plan IN ({names(fv.PLANS)})))"
+    f"WHERE length(text) >= 1 AND a.customer_plan IN ({names(fv.PLANS)})))"
 )
 
 

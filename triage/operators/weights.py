@@ -66,4 +66,4 @@ def effective_distribution(weights: DataFrame) -> DataFrame:
 def with_class_weight(df: DataFrame, weights: DataFrame, scheme: str = "balanced") -> DataFrame:
     """Each row with its category's weight; the weight table has one row per class."""
     column = weights.select("category", F.col(scheme).alias("weight"))
-    return df.join(F.broadcast(column), "category", "left")
+    return df.join(column, "category", "left")

@@ -10,6 +10,7 @@ from triage.functions import polarity as po
 from triage.operators.columns import with_missing_as_null
 from triage.operators.label import map_to_category
 from triage.operators.model import TopicModel, predict_with_confidence
+from triage.operators.report import recent_tickets
 from triage.operators.sentiment import Phrases, analyze_sentiment, negative_intensity
 from triage.operators.triage_rules import (
     accepted,
@@ -34,7 +35,7 @@ OUTPUT = (
 
 def with_ticket_id(df: DataFrame) -> DataFrame:
     """Ids as strings; tickets without one get an id derived from their text."""
-    derived = F.concat(F.lit("tkt_"), F.substring(F.md5(F.col("text").cast("binary")), 1, 12))
+    derived = F.concat(F.lit("tkt_"), F.md5(F.col("text").cast("binary")))
     if "ticket_id" not in df.columns:
         return df.withColumn("ticket_id", derived)
     return df.withColumn("ticket_id", F.coalesce(F.col("ticket_id").cast("string"), derived))
@@ -84,14 +85,17 @@ def classify(
     keep: tuple[str, ...] = (),
     lexicon: po.Lexicon | None = None,
     phrases: Phrases = fv.URGENCY_PHRASES,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Classify valid tickets; rejected ones are left to ``validate_tickets``.
 
+    Texts may be of any length unless ``max_chars`` sets a bound.
+
     ``mode="rules"`` is one chain of projections and runs unchanged on a stream.
     ``mode="model"`` takes the category from a fitted model; only ids and short
     results, never texts, are exchanged to bring the parts together.
     """
-    valid = with_ticket_id(accepted(validate_tickets(df)))
+    valid = with_ticket_id(accepted(validate_tickets(df, max_chars=max_chars)))
     if mode == "rules":
         labelled = _category_by_rules(valid)
         rated = analyze_sentiment(labelled, name="_sentiment", lexicon=lexicon, phrases=phrases)
@@ -108,3 +112,9 @@ def classify(
         "ticket_id", "category", F.col("confidence").alias("category_confidence")
     )
     return _respond(rated.join(topics, "ticket_id"), keep)
+
+
+def recent_classified(df: DataFrame, n: int = 20, **options) -> DataFrame:
+    """The ``n`` latest valid tickets by ``created_at``, classified: only those are scanned."""
+    valid = accepted(validate_tickets(with_ticket_id(df), max_chars=options.get("max_chars")))
+    return classify(recent_tickets(valid, n), keep=("created_at",), **options)

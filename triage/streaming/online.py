@@ -44,8 +44,8 @@ def classify_stream(
 
     Rules need no state, so the batch plan runs as it is. With a model each micro-batch
     is scored as a batch, since summing a ticket's terms would otherwise be kept as
-    stream state; its rows go to a folder named after the batch, so that a batch run
-    again after a failure replaces its own rows only.
+    stream state; its rows go to a folder of the batch, so that a batch run again after a
+    failure replaces its own rows only. ``read_classified`` reads either form.
     """
     if model is None:
         writer = classify(tickets, keep=keep).writeStream.format("parquet").option("path", out)
@@ -53,7 +53,7 @@ def classify_stream(
 
         def score(batch: DataFrame, batch_id: int) -> None:
             scored = classify(batch, mode="model", model=model, keep=keep)
-            scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            scored.write.mode("overwrite").parquet(f"{out}/{batch_id:020d}")
 
         writer = tickets.writeStream.foreachBatch(score)
     return (
@@ -61,6 +61,28 @@ def classify_stream(
     )
 
 
+def read_classified(spark: SparkSession, out: str) -> DataFrame:
+    """All tickets that ``classify_stream`` has written so far."""
+    if _folders(spark, f"{out}/_spark_metadata"):
+        return spark.read.parquet(out)
+    return spark.read.option("recursiveFileLookup", True).parquet(out)
+
+
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(s.getPath()) for s in system.globStatus(path) or [])
+
+
+def read_stats(spark: SparkSession, out: str) -> DataFrame:
+    """The latest complete table of counts that ``stats_stream`` has written."""
+    done = _folders(spark, f"{out}/*/_SUCCESS")
+    if not done:
+        raise ValueError(f"no complete table in {out}")
+    return spark.read.parquet(done[-1].removesuffix("/_SUCCESS"))
+
+
 def stats_stream(
     classified: DataFrame,
     out: str,
@@ -69,7 +91,8 @@ def stats_stream(
 ) -> StreamingQuery:
     """Running counts ``(dimension, value, n)``, the whole table anew after each batch.
 
-    The state is one row per value of a dimension, however many tickets pass.
+    The state is one row per value of a dimension, however many tickets pass. Every batch has
+    a folder of its own, so readers keep the last complete table until the next is there.
     """
     cells = F.array(
         *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]
@@ -82,7 +105,7 @@ def stats_stream(
     )
 
     def replace(table: DataFrame, batch_id: int) -> None:
-        table.write.mode("overwrite").parquet(out)
+        table.write.mode("overwrite").parquet(f"{out}/{batch_id:020d}")
 
     return (
         running.writeStream.outputMode("complete")
