@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from queries.common import (
@@ -23,7 +24,7 @@ from triage.operators import features as ft
 from triage.operators import model as mo
 from triage.plans.classify import classify
 from triage.plans.jobs import evaluation_counts
-from triage.sources.folders import write_through
+from triage.sources.folders import work_folder, write_table, write_through
 
 CLASSES = tuple(sorted(fv.CATEGORIES))
 
@@ -111,10 +112,19 @@ def fixed_confidence(spark, d):
 
 
 @cache
+def _saved(application: str, d: str) -> tuple[str, str]:
+    """Paths of the written split table and of the model fitted on its training part."""
+    spark = SparkSession.builder.getOrCreate()
+    rows = write_table(split_tickets(spark, d), "splits")
+    model = work_folder(spark, "model")
+    mo.fit_topics(spark.read.parquet(rows).where(F.col("split") == "train")).save(model)
+    return model, rows
+
+
 def trained(spark, d):
-    """A model of the training split and the written split table; one fit per session."""
-    rows = write_through(split_tickets(spark, d), "splits")
-    return mo.fit_topics(rows.where(F.col("split") == "train")), rows
+    """The saved model and splits; fitted once per application, by the first query that asks."""
+    model, rows = _saved(spark.sparkContext.applicationId, d)
+    return mo.TopicModel.load(spark, model), spark.read.parquet(rows)
 
 
 def train_category(spark, d):

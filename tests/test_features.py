@@ -78,7 +78,8 @@ def test_vocabulary_and_weights(corpus, model):
 def test_large_vocabularies_give_the_same_weights(corpus, model, monkeypatch):
     whole = as_dict(ft.tfidf(corpus, model).collect())
     monkeypatch.setattr(ft, "BROADCAST_BYTES", 1500)
-    monkeypatch.setattr(ft, "FREQUENT_SHARE", 0.3)
+    plan = ft.tfidf(corpus, model)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
     parts = as_dict(ft.tfidf(corpus, model).collect())
     assert parts.keys() == whole.keys()
     assert all(parts[k] == pytest.approx(whole[k]) for k in whole)

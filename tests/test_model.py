@@ -102,10 +102,29 @@ def test_coefficients_equal_a_dense_newton_solver(train):
         assert abs(fitted.intercepts[k] - w[-1]) < 1e-6
 
 
-def test_tree_merge_gives_the_same_model(train, model, monkeypatch):
-    monkeypatch.setattr(solver, "DRIVER_BYTES", 0)
-    again = mo.fit_topics(train.repartition(6))
+def test_merge_gives_the_driver_each_range_once(spark, train, model, monkeypatch):
+    monkeypatch.setattr(solver, "RANGE", 16)
+    again = mo.fit_topics(train.repartition(40))
     assert again.intercepts == pytest.approx(model.intercepts, abs=1e-6)
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(60, 100)) * (rng.random((60, 100)) < 0.1)
+    shared = spark.sparkContext.broadcast(vectors)
+
+    def task(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                yield solver._ranges(shared.value[i])
+
+    partial = spark.range(60).repartition(60).mapInArrow(task, solver.SUMS)
+    assert partial.count() > 300
+    assert np.allclose(solver._merge(partial, 100), vectors.sum(axis=0))
+
+
+def test_fit_rows_are_bounded(train):
+    rows, sizes = mo._fit_rows(train, "category", "ticket_id", 10_000)
+    assert rows is train and sum(sizes.values()) == train.count()
+    rows, sizes = mo._fit_rows(train, "category", "ticket_id", train.count() // 2)
+    assert 0 < rows.count() == sum(sizes.values()) < train.count()
 
 
 def test_canonical_tickets(spark, model):
@@ -170,7 +189,10 @@ def test_save_and_load(spark, train, model, tmp_path):
 def test_large_vocabulary_scores_alike(train, model, monkeypatch):
     whole = {r[0]: r[1] for r in mo.decision_function(train, model).collect()}
     monkeypatch.setattr(ft, "BROADCAST_BYTES", 9000)
-    monkeypatch.setattr(ft, "FREQUENT_SHARE", 0.2)
+    assert model.n_bytes > 2 * 9000
+    scored = mo.decision_function(train, model)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
     parts = {r[0]: r[1] for r in mo.decision_function(train, model).collect()}
     assert parts.keys() == whole.keys()
     assert all(parts[k] == pytest.approx(whole[k]) for k in whole)

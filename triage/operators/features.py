@@ -25,11 +25,10 @@ from triage.sources.folders import write_table, write_through
 BLOCKS = ("word", "char")
 BLOCK_WEIGHTS = {"word": fv.WORD_BLOCK_WEIGHT, "char": fv.CHAR_BLOCK_WEIGHT}
 
-# A term table of up to this size is broadcast; of a larger one only the frequent terms
-# are, and the rest is joined by shuffle. A row is counted as its term and its fixed part.
+# A term table is broadcast in shards of up to this size. A row is counted as its term and its
+# fixed part. How many terms there are is bounded by the rows a model is fitted on.
 BROADCAST_BYTES = 256 * 1024 * 1024
 ROW_BYTES = 120
-FREQUENT_SHARE = 0.001
 
 
 def block_terms(text: Column | str, block: str) -> Column:
@@ -85,32 +84,32 @@ def prune(
 def with_index(terms: DataFrame) -> DataFrame:
     """Number the terms from 0, words before character n-grams, each in byte order.
 
-    The number is the rank inside the term's two-letter bucket plus the size of all
-    buckets before it, so no task sorts the whole vocabulary.
+    The sorted table is written with a number that counts within its part; adding the sizes of
+    the parts before gives the place. Parts are ranges of about equal size, so no task
+    sorts all terms of a common beginning.
     """
-    bucketed = terms.withColumns(
-        {
-            "_block_no": F.array_position(F.array(*[F.lit(b) for b in BLOCKS]), F.col("block")),
-            "_bucket": F.substring("term", 1, 2),
-        }
+    block_no = F.array_position(F.array(*[F.lit(b) for b in BLOCKS]), F.col("block"))
+    in_order = terms.withColumn("_block_no", block_no).orderBy("_block_no", "term")
+    placed = write_through(
+        in_order.drop("_block_no").withColumn("_at", F.monotonically_increasing_id()), "sorted-terms"
+    ).withColumn("_part", F.shiftright("_at", PART_BITS))
+    before = whole().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0).cast("long")).alias("_start"))
     )
-    sizes = bucketed.groupBy("_block_no", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = whole().orderBy("_block_no", "_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = sizes.select(
-        "_block_no",
-        "_bucket",
-        F.coalesce(F.sum("_size").over(before), F.lit(0).cast("long")).alias("_start"),
-    )
-    inside = Window.partitionBy("_block_no", "_bucket").orderBy("term")
-    return (
-        bucketed.withColumn("_rank", F.row_number().over(inside))
-        .join(starts, ["_block_no", "_bucket"])
-        .select(*terms.columns, (F.col("_start") + F.col("_rank") - 1).alias("idx"))
+    row = F.col("_at").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    return placed.join(F.broadcast(starts), "_part").select(
+        *terms.columns, (F.col("_start") + row).alias("idx")
     )
 
 
+# monotonically_increasing_id counts a part's rows in the lower bits; parts are at most as many
+# as shuffle partitions, so their sizes are a small table.
+PART_BITS = 33
+
+
 def with_idf(kept: DataFrame, n_docs: Column) -> DataFrame:
     """Add idf = ln((1+n)/(1+df)) + 1."""
     return kept.withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1.0)
@@ -134,13 +133,15 @@ def fit_tfidf(
     min_df: int = fv.MIN_DF,
     max_df: float = fv.MAX_DF,
     id_column: str = "ticket_id",
+    n_docs: int | None = None,
 ) -> TfidfModel:
-    """Count the tickets and write the vocabulary ``(block, term, df, idf, idx)``.
+    """Write the vocabulary ``(block, term, df, idf, idx)``; counts the tickets unless told.
 
     The kept terms are written before they are numbered, because numbering reads them
     twice and counting them is the costly part.
     """
-    n_docs = df.count()
+    if n_docs is None:
+        n_docs = df.count()
     counted = document_frequency(count_terms(df, text, blocks=blocks, id_column=id_column))
     kept = write_through(
         prune(counted, F.lit(n_docs), min_df=min_df, max_df=max_df), "kept-terms"
@@ -161,27 +162,30 @@ def look_up_terms(
     terms: DataFrame,
     *,
     n_bytes: int,
-    n_docs: int,
     how: str = "inner",
 ) -> DataFrame:
-    """Join term counts with a term table holding ``block``, ``term`` and ``df``.
+    """Join term counts with a term table.
 
-    A term that occurs in a large share of the tickets would make one huge join key.
-    Either the whole term table is small and broadcast, or its frequent part is: terms
-    in at least one of a thousand tickets number at most a thousand times the average
-    ticket's terms, and any other key has less than a thousandth of the tickets.
+    A table above ``BROADCAST_BYTES`` is cut into shards that are broadcast one by one. A term
+    passes all of them where it was counted and is found in the one its hash names, so
+    neither texts nor terms are read or moved again.
     """
     keys = ["block", "term"]
-    if n_bytes <= BROADCAST_BYTES:
+    shards = max(1, -(-n_bytes // BROADCAST_BYTES))
+    if shards == 1:
         return counts.join(F.broadcast(terms), keys, how)
-    floor = max(1.0, FREQUENT_SHARE * n_docs)
-    frequent = terms.where(F.col("df") >= floor)
-    while table_size(frequent)[1] > BROADCAST_BYTES:
-        floor *= 2
-        frequent = terms.where(F.col("df") >= floor)
-    hot = counts.join(F.broadcast(frequent), keys)
-    cold = counts.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
-    return hot.unionByName(cold.join(terms.where(F.col("df") < floor), keys, how))
+    values = [c for c in terms.columns if c not in keys]
+    shard = F.pmod(F.xxhash64(*keys), F.lit(shards))
+    found = counts.withColumn("_shard", shard)
+    for i in range(shards):
+        own = terms.where(shard == i).select(
+            *(F.col(c).alias(f"_{c}") for c in keys), *(F.col(c).alias(f"_{i}_{c}") for c in values)
+        )
+        same = (F.col("_shard") == i) & (F.col("block") == F.col("_block")) & (F.col("term") == F.col("_term"))
+        found = found.join(F.broadcast(own), same, "left").drop("_block", "_term")
+    merged = [F.coalesce(*(f"_{i}_{c}" for i in range(shards))).alias(c) for c in values]
+    out = found.select(*counts.columns, *merged)
+    return out.where(F.col(values[0]).isNotNull()) if how == "inner" else out
 
 
 def _raw_weight() -> Column:
@@ -205,7 +209,7 @@ def tfidf(
     """
     tickets = by_ticket(df.select(id_column, text), id_column)
     counts = count_terms(tickets, text, blocks=blocks, id_column=id_column)
-    found = look_up_terms(counts, model.terms, n_bytes=model.n_bytes, n_docs=model.n_docs)
+    found = look_up_terms(counts, model.terms, n_bytes=model.n_bytes)
     raw = found.select(id_column, "block", "term", "idx", _raw_weight().alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_column, "block")))
     scale = block_scale() if weighted else F.lit(1.0)
@@ -237,7 +241,7 @@ def sparse_rows(
     tickets = by_ticket(df.select(id_column, *keep, text), id_column)
     counts = count_terms(tickets, text, id_column=id_column, keep=keep, keep_empty=True)
     found = look_up_terms(
-        counts, model.terms, n_bytes=model.n_bytes, n_docs=model.n_docs, how="left"
+        counts, model.terms, n_bytes=model.n_bytes, how="left"
     ).withColumn("_w", _raw_weight())
 
     def length(block: str) -> Column:

@@ -20,9 +20,9 @@ from triage.operators.columns import require_columns
 from triage.operators.solver import Problem, fit_logistic
 from triage.sources.folders import write_through
 
-# Coefficients are dense on the driver while fitting, some 200 bytes a term and class.
-# More terms call for a higher min_df, which is why fitting refuses instead of cutting.
-MAX_TERMS = 5_000_000
+# Of a larger table about so many labelled rows are fitted on, which bounds the vocabulary and
+# with it the dense coefficients on the driver. Scoring and evaluation read every row.
+MAX_FIT_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -86,22 +86,25 @@ def fit_topics(
     tol: float = 1e-4,
     min_df: int = fv.MIN_DF,
     max_df: float = fv.MAX_DF,
+    max_fit_rows: int = MAX_FIT_ROWS,
 ) -> TopicModel:
     """Fit vocabulary and coefficients.
 
     Features are built once and written; every pass of the solver is a distributed sum
-    of gradients over them.
+    of gradients over them. Of a table with more than ``max_fit_rows`` labelled rows those
+    are taken whose hashed id falls below the share, in every class alike.
     """
     require_columns(df, (id_column, text, label))
-    rows = df.where(F.col(label).isNotNull())
-    sizes = class_sizes(rows, label)
+    rows, sizes = _fit_rows(df.where(F.col(label).isNotNull()), label, id_column, max_fit_rows)
     if len(sizes) < 2:
         raise ValueError("training needs at least two classes")
-    vocab = ft.fit_tfidf(rows, text, min_df=min_df, max_df=max_df, id_column=id_column)
-    if not 0 < vocab.n_terms <= MAX_TERMS:
-        raise ValueError(f"{vocab.n_terms} terms: change min_df or max_df")
     names = list(sizes)
     total = sum(sizes.values())
+    vocab = ft.fit_tfidf(
+        rows, text, min_df=min_df, max_df=max_df, id_column=id_column, n_docs=total
+    )
+    if not vocab.n_terms:
+        raise ValueError("no terms: change min_df or max_df")
     if class_weight == "balanced":
         weights = {c: total / (len(sizes) * n) for c, n in sizes.items()}
     else:
@@ -137,6 +140,19 @@ def fit_topics(
     )
 
 
+def _fit_rows(
+    rows: DataFrame, label: str, id_column: str, most: int
+) -> tuple[DataFrame, dict[str, int]]:
+    """The rows to fit on and how many of each class there are."""
+    sizes = class_sizes(rows, label)
+    total = sum(sizes.values())
+    if total <= most:
+        return rows, sizes
+    place = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_column).cast("string")), F.lit(1 << 30))
+    chosen = rows.where(place < int(most / total * (1 << 30)))
+    return chosen, class_sizes(chosen, label)
+
+
 def _coefficient_table(spark: SparkSession, columns) -> DataFrame:
     """``(idx, coef)``; the solver's vectors are on the driver already."""
     import numpy as np
@@ -161,7 +177,7 @@ def decision_function(
     """
     counts = ft.count_terms(df, text, id_column=id_column, keep_empty=True)
     found = ft.look_up_terms(
-        counts, model.terms, n_bytes=model.n_bytes, n_docs=model.n_docs, how="left"
+        counts, model.terms, n_bytes=model.n_bytes, how="left"
     ).withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     sums = [F.count_if("first").alias("_copies")]
     for block in ft.BLOCKS:
