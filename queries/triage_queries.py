@@ -153,7 +153,7 @@ def ticket_stats(spark, d):
 
 def _ticket_stream(spark, d):
     schema = table(spark, d, "documents").schema
-    arriving = online.read_stream(spark, d, schema, pattern="documents.parquet")
+    arriving = online.read_stream(spark, f"{d}/documents.parquet", schema)
     return fixtures.tickets(arriving).withColumn("text", tx.assemble_text("subject", "body"))
 
 
