@@ -152,8 +152,12 @@ def ticket_stats(spark, d):
 
 
 def _ticket_stream(spark, d):
-    schema = table(spark, d, "documents").schema
-    arriving = online.read_stream(spark, f"{d}/documents.parquet", schema)
+    documents = table(spark, d, "documents")
+    # A stream reads folders: the table's own, or the one its single file lies in.
+    name = "documents.parquet"
+    whole = any(f"/{name}/" in f for f in documents.inputFiles())
+    path, pattern = (f"{d}/{name}", None) if whole else (d, name)
+    arriving = online.read_stream(spark, path, documents.schema, pattern=pattern)
     return fixtures.tickets(arriving).withColumn("text", tx.assemble_text("subject", "body"))
 
 
