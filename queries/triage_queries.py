@@ -11,6 +11,7 @@ from triage import fixed_values as fv
 from triage import fixtures
 from triage.functions import polarity as po
 from triage.functions import text as tx
+from triage.operators import label as lb
 from triage.operators import report as rp
 from triage.operators import sentiment as se
 from triage.operators import triage_rules as tr
@@ -33,31 +34,32 @@ def urgency_signals(spark, d):
     )
 
 
-def made_up(spark, d):
-    """Scores that pass through all thresholds, next to real urgency hits."""
-    return requests(spark, d).select(
+def rated(spark, d):
+    """Polarity, urgency hits, plan and the rules' confidence of every ticket."""
+    rows = lb.map_to_category(requests(spark, d)).withColumn("p", po.polarity("text"))
+    return rows.select(
         "ticket_id",
         "customer_plan",
         se.urgency_hits("text").alias("hits"),
-        ((F.col("ticket_id") % 201 - 100) / 100.0).alias("compound"),
-        ((F.col("ticket_id") % 11) / 10.0).alias("neg"),
-        ((F.col("ticket_id") % 5) / 4.0).alias("confidence"),
+        "p.compound",
+        "p.neg",
+        F.when(F.col("category").isNotNull(), 1.0).otherwise(0.0).alias("confidence"),
     )
 
 
 def boost_compound(spark, d):
     boosted = se.boost_compound(F.col("compound"), F.col("hits"))
-    return made_up(spark, d).select("ticket_id", F.round(boosted, 6).alias("compound"))
+    return rated(spark, d).select("ticket_id", F.round(boosted, 6).alias("compound"))
 
 
 def sentiment_label(spark, d):
     label = se.sentiment_label(F.col("compound"), F.col("neg"), F.size("hits"))
-    return made_up(spark, d).select("ticket_id", label.alias("label"))
+    return rated(spark, d).select("ticket_id", label.alias("label"))
 
 
 def negative_intensity(spark, d):
     value = se.negative_intensity(F.col("neg"), F.size("hits"))
-    return made_up(spark, d).select("ticket_id", F.round(value, 6).alias("intensity"))
+    return rated(spark, d).select("ticket_id", F.round(value, 6).alias("intensity"))
 
 
 def _priority():
@@ -70,11 +72,11 @@ def _priority():
 
 
 def priority_score(spark, d):
-    return made_up(spark, d).select("ticket_id", F.round(_priority(), 6).alias("score"))
+    return rated(spark, d).select("ticket_id", F.round(_priority(), 6).alias("score"))
 
 
 def priority_level(spark, d):
-    return made_up(spark, d).select("ticket_id", tr.priority_level(_priority()).alias("level"))
+    return rated(spark, d).select("ticket_id", tr.priority_level(_priority()).alias("level"))
 
 
 def analyze_sentiment(spark, d):
@@ -112,11 +114,7 @@ def custom_urgency(spark, d):
 
 
 def route_ticket(spark, d):
-    rows = requests(spark, d).select(
-        "ticket_id",
-        F.get(F.array(*[F.lit(c) for c in fv.CATEGORIES]), (F.col("ticket_id") % 7).cast("int"))
-        .alias("category"),
-    )
+    rows = lb.map_to_category(requests(spark, d)).select("ticket_id", "category")
     return tr.route_tickets(rows)
 
 
@@ -329,11 +327,10 @@ def sql_team(category: str) -> str:
     return f"CASE {category} {whens} ELSE {q(fv.DEFAULT_TEAM)} END"
 
 
-MADE_UP = (
-    f"SELECT ticket_id, customer_plan, {sql_hits('text', fv.URGENCY_PHRASES)} AS hits, "
-    "CAST(ticket_id % 201 - 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS compound, "
-    "CAST(ticket_id % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS neg, "
-    "CAST(ticket_id % 5 AS DOUBLE) / CAST(4 AS DOUBLE) AS confidence FROM requests"
+RATED = (
+    f"SELECT r.ticket_id, r.customer_plan, {sql_hits('r.text', fv.URGENCY_PHRASES)} AS hits, "
+    "p.compound, p.neg, CAST(CASE WHEN m.category IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS confidence "
+    "FROM requests r JOIN polarity p USING (ticket_id) JOIN mapped m USING (ticket_id)"
 )
 SCORE = sql_priority("len(hits)", sql_intensity("neg", "len(hits)"), "customer_plan", "confidence")
 ANALYZED = (
@@ -384,9 +381,13 @@ STATS = analyzed_sql(
 )
 
 
-def made_up_sql(expression, name):
+def rated_sql(expression, name):
     return with_ctes(
-        f"SELECT ticket_id, {expression} AS {name} FROM made_up", "requests", made_up=MADE_UP
+        f"SELECT ticket_id, {expression} AS {name} FROM rated",
+        "requests",
+        "mapped",
+        **POLARITY_STEPS,
+        rated=RATED,
     )
 
 
@@ -408,15 +409,15 @@ QUERIES = {
     ),
     "boost_compound": (
         boost_compound,
-        made_up_sql(f"round({sql_boost('compound', 'hits')}, 6)", "compound"),
+        rated_sql(f"round({sql_boost('compound', 'hits')}, 6)", "compound"),
     ),
     "sentiment_label": (
         sentiment_label,
-        made_up_sql(sql_label("compound", "neg", "len(hits)"), "label"),
+        rated_sql(sql_label("compound", "neg", "len(hits)"), "label"),
     ),
     "negative_intensity": (
         negative_intensity,
-        made_up_sql(f"round({sql_intensity('neg', 'len(hits)')}, 6)", "intensity"),
+        rated_sql(f"round({sql_intensity('neg', 'len(hits)')}, 6)", "intensity"),
     ),
     "analyze_sentiment": (analyze_sentiment, FLAT_SENTIMENT),
     "analyze_sentiment_by_join": (analyze_by_join, FLAT_SENTIMENT),
@@ -428,13 +429,11 @@ QUERIES = {
             "requests",
         ),
     ),
-    "priority_score": (priority_score, made_up_sql(f"round({SCORE}, 6)", "score")),
-    "priority_level": (priority_level, made_up_sql(sql_level(SCORE), "level")),
+    "priority_score": (priority_score, rated_sql(f"round({SCORE}, 6)", "score")),
+    "priority_level": (priority_level, rated_sql(sql_level(SCORE), "level")),
     "route_ticket": (
         route_ticket,
-        "SELECT ticket_id, category, " + sql_team("category") + " AS routed_to FROM ("
-        f"SELECT doc_id AS ticket_id, ([{names(fv.CATEGORIES)}])[doc_id % 7 + 1] AS category "
-        "FROM documents)",
+        with_ctes(f"SELECT ticket_id, category, {sql_team('category')} AS routed_to FROM mapped", "mapped"),
     ),
     "classify_rules": (classify_rules, FLAT),
     "recent_tickets": (
