@@ -19,6 +19,7 @@ from triage import fixed_values as fv
 from triage.functions import text as tx
 from triage.functions.binding import column
 from triage.operators.columns import by_ticket
+from triage.operators.lookup import join_broadcast
 from triage.operators.profile import whole
 from triage.sources.folders import write_table, write_through
 
@@ -158,34 +159,12 @@ def table_size(terms: DataFrame) -> tuple[int, int]:
 
 
 def look_up_terms(
-    counts: DataFrame,
-    terms: DataFrame,
-    *,
-    n_bytes: int,
-    how: str = "inner",
+    counts: DataFrame, terms: DataFrame, *, n_bytes: int, how: str = "inner"
 ) -> DataFrame:
-    """Join term counts with a term table.
-
-    A table above ``BROADCAST_BYTES`` is cut into shards that are broadcast one by one. A term
-    passes all of them where it was counted and is found in the one its hash names, so
-    neither texts nor terms are read or moved again.
-    """
-    keys = ["block", "term"]
-    shards = max(1, -(-n_bytes // BROADCAST_BYTES))
-    if shards == 1:
-        return counts.join(F.broadcast(terms), keys, how)
-    values = [c for c in terms.columns if c not in keys]
-    shard = F.pmod(F.xxhash64(*keys), F.lit(shards))
-    found = counts.withColumn("_shard", shard)
-    for i in range(shards):
-        own = terms.where(shard == i).select(
-            *(F.col(c).alias(f"_{c}") for c in keys), *(F.col(c).alias(f"_{i}_{c}") for c in values)
-        )
-        same = (F.col("_shard") == i) & (F.col("block") == F.col("_block")) & (F.col("term") == F.col("_term"))
-        found = found.join(F.broadcast(own), same, "left").drop("_block", "_term")
-    merged = [F.coalesce(*(f"_{i}_{c}" for i in range(shards))).alias(c) for c in values]
-    out = found.select(*counts.columns, *merged)
-    return out.where(F.col(values[0]).isNotNull()) if how == "inner" else out
+    """Join term counts with a term table, where they were counted."""
+    return join_broadcast(
+        counts, terms, ["block", "term"], n_bytes=n_bytes, limit=BROADCAST_BYTES, how=how
+    )
 
 
 def _raw_weight() -> Column:

@@ -11,6 +11,7 @@ from triage import fixed_values as fv
 from triage.functions import text as tx
 from triage.functions.binding import lookup
 from triage.operators.columns import require_columns, with_missing_as_null
+from triage.operators.lookup import few_rows
 
 KeywordRules = Sequence[tuple[str, Sequence[str]]]
 
@@ -22,7 +23,7 @@ def rules_from_frame(rules: DataFrame) -> KeywordRules:
     """
     require_columns(rules, ("rule_no", "category", "pattern"))
     by_category: dict[str, list[str]] = {}
-    rows = rules.select("category", "pattern").orderBy("rule_no").collect()
+    rows = few_rows(rules.orderBy("rule_no").select("category", "pattern"), "keyword rules")
     for row in rows:
         by_category.setdefault(row["category"], []).append(row["pattern"])
     return list(by_category.items())

@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from triage import fixed_values as fv
 from triage.operators import features as ft
 from triage.operators.columns import require_columns
+from triage.operators.lookup import few_rows
 from triage.operators.solver import Problem, fit_logistic
 from triage.sources.folders import write_through
 
 # Of a larger table about so many labelled rows are fitted on, which bounds the vocabulary and
 # with it the dense coefficients on the driver. Scoring and evaluation read every row.
 MAX_FIT_ROWS = 200_000
+# Coefficients are held per class.
+MOST_CLASSES = 1000
 
 
 @dataclass(frozen=True)
@@ -70,7 +73,7 @@ def classes(df: DataFrame, label: str = "category") -> DataFrame:
 
 def class_sizes(df: DataFrame, label: str = "category") -> dict[str, int]:
     """Rows per class, alphabetical; one row per class reaches the driver."""
-    rows = df.where(F.col(label).isNotNull()).groupBy(label).count().collect()
+    rows = few_rows(df.where(F.col(label).isNotNull()).groupBy(label).count(), "classes", MOST_CLASSES)
     return {r[label]: r["count"] for r in sorted(rows, key=lambda r: r[label])}
 
 

@@ -11,12 +11,13 @@ from triage import fixed_values as fv
 from triage.functions import polarity as po
 from triage.functions import text as tx
 from triage.functions.binding import column, let
+from triage.operators.lookup import few_rows, join_broadcast
 from triage.operators.columns import by_ticket
 
 Phrases = Sequence[tuple[str, float]] | Mapping[str, float]
 
-# A lexicon table of up to this size is sent to every executor; a larger one is joined
-# by shuffle. A row is counted as its word and its fixed part.
+# A lexicon table is sent to every executor in shards of up to this size. A row is counted as
+# its word and its fixed part.
 BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_BYTES = 80
 
@@ -26,7 +27,7 @@ def phrases_from_frame(df: DataFrame) -> list[tuple[str, float]]:
 
     Reads the table to the driver: it is a rule book and does not grow with tickets.
     """
-    rows = df.select("phrase", "delta").orderBy("phrase_no").collect()
+    rows = few_rows(df.orderBy("phrase_no").select("phrase", "delta"), "phrases")
     return [(r["phrase"], float(r["delta"])) for r in rows]
 
 
@@ -133,9 +134,8 @@ def analyze_sentiment_by_join(
 ) -> DataFrame:
     """As ``analyze_sentiment`` with the lexicon as a table ``(token, kind, value)``.
 
-    For word lists too long for a literal. Measures the lexicon first: it is broadcast
-    only up to ``BROADCAST_BYTES``. Ids must be unique. The tickets are partitioned by id before they
-    are cut into words, so words are looked up and put back together in place.
+    For word lists too long for a literal. Ids must be unique. The tickets are partitioned by id
+    before they are cut into words, so words are looked up and put back together in place.
     """
     tx.require_string(df, text)
     words = lexicon.groupBy(F.col("token").alias("_word")).agg(
@@ -144,14 +144,12 @@ def analyze_sentiment_by_join(
         F.max(F.col("kind") == "negation").alias("_negates"),
     )
     size = words.agg(F.sum(F.octet_length("_word") + ROW_BYTES)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        words = F.broadcast(words)
     tickets = by_ticket(df, id_column)
     pieces = tickets.where(tx.has_content(text)).select(
         id_column, F.posexplode(po.tokens(text)).alias("_at", "_token")
-    )
+    ).withColumn("_word", F.col("_token.word"))
     rated = (
-        pieces.join(words, F.col("_token.word") == F.col("_word"), "left")
+        join_broadcast(pieces, words, ["_word"], n_bytes=size, limit=BROADCAST_BYTES)
         .select(
             id_column,
             F.struct(

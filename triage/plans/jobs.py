@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +17,20 @@ from triage.sources.folders import write_table, write_through
 
 
 def with_ids(raw: DataFrame) -> DataFrame:
-    """Give raw tickets an id where they have none: file and row of a written copy.
+    """Give raw tickets an id where they have none: the file they lie in and their row there.
 
-    Needs no shuffle, and the same input read with the same settings gets the same ids.
+    The ids of a Parquet table depend on its files alone. Only rows that come from elsewhere are
+    written once more, to have files.
     """
     if "ticket_id" in raw.columns:
         return raw
-    copy = raw.sparkSession.read.schema(raw.schema).parquet(write_table(raw, "raw"))
-    name = F.col("_metadata.file_name")
-    parts = [F.regexp_extract(name, r"part-(\d+)-.*-c(\d+)", i) for i in (1, 2)]
-    row = F.col("_metadata.row_index").cast("string")
-    return copy.select(F.concat_ws("-", *parts, row).alias("ticket_id"), *raw.columns)
+    try:
+        placed = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), "*")
+    except AnalysisException:
+        copy = raw.sparkSession.read.schema(raw.schema).parquet(write_table(raw, "raw"))
+        return with_ids(copy)
+    ids = F.concat_ws("-", F.md5(F.col("_file").cast("binary")), F.col("_row").cast("string"))
+    return placed.select(ids.alias("ticket_id"), *raw.columns)
 
 
 def prepare(
