@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from queries.common import (
@@ -18,15 +18,16 @@ from queries.common import (
     with_ctes,
 )
 from queries.texts import split_pieces
+from queries.triage_queries import analyzed_sql
 from triage import fixed_values as fv
-from triage.operators import evaluate as ev
 from triage.operators import features as ft
 from triage.operators import model as mo
 from triage.plans.classify import classify
-from triage.plans.jobs import evaluation_counts
 from triage.sources.folders import work_folder, write_table, write_through
 
 CLASSES = tuple(sorted(fv.CATEGORIES))
+# What the solver stops at by default, as a share of the smaller class's part of the start.
+TOLERANCE = 1e-4
 
 
 def term_totals(block):
@@ -127,36 +128,86 @@ def trained(spark, d):
     return mo.TopicModel.load(spark, model), spark.read.parquet(rows)
 
 
+def fit_report(model, rows):
+    """Rows of each split and class, and whether the fit on the training part has converged."""
+    norms = mo.gradient_norms(rows.where(F.col("split") == "train"), model).select(
+        "category",
+        (F.col("norm") <= 1.01 * TOLERANCE * F.col("smaller_share") * F.col("start_norm")).alias("converged"),
+    )
+    # Every labelled row is scored; a row is predicted one of the classes with a fair confidence.
+    scored = mo.with_predictions(rows, model)
+    sane = F.col("y_pred").isin(*model.classes) & F.col("conf").between(1.0 / len(model.classes), 1.0)
+    sizes = scored.groupBy("split", F.col("y_true").alias("category")).agg(
+        F.count(F.lit(1)).alias("support"), F.bool_and(sane).alias("scored")
+    )
+    return sizes.join(norms, "category").select("split", "category", "support", "scored", "converged")
+
+
 def train_category(spark, d):
-    model, rows = trained(spark, d)
-    return ev.classification_report(evaluation_counts(rows, model))
+    return fit_report(*trained(spark, d))
 
 
 def train_quality(spark, d):
-    """The other labelled target: document quality, two classes."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    rows = docs.join(
-        table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("category")),
-        "doc_id",
-    ).select(F.col("doc_id").alias("ticket_id"), "text", "category", F.lit("train").alias("split"))
+    """The other labelled target: document quality, two classes, a fifth held out by id."""
+    labels = table(spark, d, "labels").where(F.col("quality").isNotNull())
+    held_out = F.col("doc_id") % 5 == 0
+    rows = table(spark, d, "documents").join(labels, "doc_id").select(
+        F.col("doc_id").alias("ticket_id"),
+        "text",
+        F.col("quality").cast("string").alias("category"),
+        F.when(held_out, "test").otherwise("train").alias("split"),
+    )
     rows = write_through(rows, "quality")
-    model = mo.fit_topics(rows)
-    return ev.metrics_overall(evaluation_counts(rows, model), model.classes)
+    model = mo.fit_topics(rows.where(F.col("split") == "train"))
+    return fit_report(model, rows)
 
 
 def top_features(spark, d):
-    return mo.top_features(trained(spark, d)[0])
+    """Ranks of each class; ``in_order`` says that the coefficients fall and none left out is higher."""
+    model = trained(spark, d)[0]
+    top = mo.top_features(model)
+    lowest = top.groupBy("category").agg(F.min("coef").alias("lowest"))
+    names = F.array(*[F.lit(c) for c in model.classes])
+    above = (
+        model.terms.select(F.posexplode("coef").alias("at", "coef"))
+        .select(F.get(names, "at").alias("category"), "coef")
+        .join(lowest, "category")
+        .where(F.col("coef") > F.col("lowest"))
+        .groupBy("category")
+        .agg(F.count(F.lit(1)).alias("above"))
+    )
+    by_rank = Window.partitionBy("category").orderBy("rank")
+    falls = F.col("coef") <= F.coalesce(F.lag("coef").over(by_rank), F.col("coef"))
+    return (
+        top.join(above, "category", "left")
+        .withColumn("in_order", falls & (F.coalesce("above", F.lit(0)) < fv.TOP_FEATURES))
+        .select("category", "rank", "in_order")
+    )
 
 
 def predict_category(spark, d):
+    """Every ticket of the test split with a known class and a confidence within bounds."""
     model, rows = trained(spark, d)
-    return mo.predict(rows.where(F.col("split") == "test"), model)
+    found = mo.predict_with_confidence(rows.where(F.col("split") == "test"), model)
+    return found.select(
+        "ticket_id",
+        F.col("category").isin(*model.classes).alias("known"),
+        F.col("confidence").between(1.0 / len(model.classes), 1.0).alias("bounded"),
+    )
 
 
 def classify_model(spark, d):
-    out = classify(requests(spark, d), mode="model", model=trained(spark, d)[0])
+    """What needs no model is exact; category and confidence are checked for their range."""
+    model = trained(spark, d)[0]
+    out = classify(requests(spark, d), mode="model", model=model)
     return out.select(
-        "ticket_id", "category", "category_confidence", "sentiment", "priority", "routed_to"
+        "ticket_id",
+        F.col("category").isin(*model.classes).alias("known"),
+        F.col("category_confidence").between(1.0 / len(model.classes), 1.0).alias("bounded"),
+        "sentiment",
+        *[F.col(f"sentiment_scores.{c}").alias(c) for c in ("neg", "neu", "pos")],
+        F.round("sentiment_scores.compound", 6).alias("compound"),
+        F.array_join("urgency_signals", "|").alias("urgency_signals"),
     )
 
 
@@ -293,9 +344,41 @@ QUERIES = {
         lambda s, d: mo.classes(labelled(s, d)),
         with_ctes("SELECT DISTINCT category FROM labelled", "labelled"),
     ),
-    "train_category": (train_category, None),
-    "train_quality": (train_quality, None),
-    "top_features": (top_features, None),
-    "predict_category": (predict_category, None),
-    "classify_model": (classify_model, None),
+    "train_category": (
+        train_category,
+        with_ctes(
+            "SELECT split, category, count(*) AS support, true AS scored, true AS converged "
+            "FROM split_tickets GROUP BY ALL",
+            "split_tickets",
+        ),
+    ),
+    "train_quality": (
+        train_quality,
+        "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, "
+        "CAST(quality AS VARCHAR) AS category, count(*) AS support, true AS scored, true AS converged "
+        "FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL",
+    ),
+    "top_features": (
+        top_features,
+        with_ctes(
+            "SELECT DISTINCT category, rank, true AS in_order FROM labelled, "
+            f"(SELECT unnest(range(1, {fv.TOP_FEATURES} + 1)) AS rank)",
+            "labelled",
+        ),
+    ),
+    "predict_category": (
+        predict_category,
+        with_ctes(
+            "SELECT ticket_id, true AS known, true AS bounded FROM split_tickets WHERE split = 'test'",
+            "split_tickets",
+        ),
+    ),
+    "classify_model": (
+        classify_model,
+        analyzed_sql(
+            "SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, true AS known, true AS bounded, "
+            "label AS sentiment, neg, neu, pos, round(compound, 6) AS compound, "
+            f"signals AS urgency_signals FROM analyzed WHERE length(text) >= 1 AND customer_plan IN ({names(fv.PLANS)})"
+        ),
+    ),
 }

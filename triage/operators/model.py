@@ -256,6 +256,72 @@ def top_features(model: TopicModel, n: int = fv.TOP_FEATURES) -> DataFrame:
     )
 
 
+def gradient_norms(
+    df: DataFrame,
+    model: TopicModel,
+    text: str = "text",
+    *,
+    label: str = "category",
+    id_column: str = "ticket_id",
+    C: float = fv.C,
+) -> DataFrame:
+    """``(category, norm, start_norm, smaller_share)`` of the fitted loss, from the saved model.
+
+    Works out each class's gradient at the coefficients and at zero as sums over the weights of
+    the rows fitted on, without the solver. Balanced class weights are assumed.
+    """
+    rows = df.where(F.col(label).isNotNull())
+    sizes = class_sizes(rows, label)
+    total, names = sum(sizes.values()), list(model.classes)
+    own = {c: total / (len(names) * sizes[c]) for c in names}
+    # Of two classes the second is fitted against the first, and both have their weight.
+    fitted = [1] if len(names) == 2 else range(len(names))
+    pulls = []
+    for k in fitted:
+        rest = own[names[0]] if len(names) == 2 else 1.0
+        mine = F.col(label) == names[k]
+        sign, cost = F.when(mine, 1.0).otherwise(-1.0), F.when(mine, own[names[k]]).otherwise(rest)
+        score = F.get("scores", F.lit(k))
+        pulls += [-sign * cost / (1.0 + F.exp(sign * score)), -sign * cost / 2.0]
+    pulled = decision_function(rows, model, text, id_column=id_column).join(
+        rows.select(id_column, label), id_column
+    ).select(id_column, F.array(*pulls).alias("_pulls"))
+    vocab = ft.TfidfModel(model.terms, model.n_terms, model.n_bytes, model.n_docs)
+    weights = ft.tfidf(rows, vocab, text, id_column=id_column).select(id_column, "idx", "weight")
+
+    def part(i: int) -> Column:
+        return F.get("_pulls", F.lit(i))
+
+    by_term = (
+        weights.join(pulled, id_column)
+        .groupBy("idx")
+        .agg(*(F.sum(F.col("weight") * part(i)).alias(f"_{i}") for i in range(len(pulls))))
+        .join(model.terms.select("idx", "coef"), "idx")
+    )
+    squares = []
+    for at, k in enumerate(fitted):
+        here = F.get("coef", F.lit(k)) + C * F.col(f"_{2 * at}")
+        squares += [F.sum(here * here).alias(f"_s{2 * at}")]
+        squares += [F.sum(C * C * F.col(f"_{2 * at + 1}") * F.col(f"_{2 * at + 1}")).alias(f"_s{2 * at + 1}")]
+    bias = pulled.agg(*(F.sum(part(i)).alias(f"_b{i}") for i in range(len(pulls))))
+    lines = []
+    for at, k in enumerate(fitted):
+        end = F.lit(float(model.intercepts[k])) + C * F.col(f"_b{2 * at}")
+        start = C * F.col(f"_b{2 * at + 1}")
+        smaller = max(min(sizes[names[k]], total - sizes[names[k]]), 1) / total
+        for c in names if len(names) == 2 else [names[k]]:
+            lines.append(
+                F.struct(
+                    F.lit(c).alias("category"),
+                    F.sqrt(F.col(f"_s{2 * at}") + end * end).alias("norm"),
+                    F.sqrt(F.col(f"_s{2 * at + 1}") + start * start).alias("start_norm"),
+                    F.lit(smaller).alias("smaller_share"),
+                )
+            )
+    # Both sides are one row.
+    return by_term.agg(*squares).crossJoin(bias).select(F.inline(F.array(*lines)))
+
+
 def with_predictions(
     df: DataFrame,
     model: TopicModel,
