@@ -130,12 +130,15 @@ def trained(spark, d):
 
 def fit_report(model, rows):
     """Rows of each split and class, and whether the fit on the training part has converged."""
-    norms = mo.gradient_norms(rows.where(F.col("split") == "train"), model).select(
+    features = write_through(
+        ft.sparse_rows(rows, mo.vocabulary_of(model), keep=("category", "split")), "report-features"
+    )
+    norms = mo.gradient_norms(features.where(F.col("split") == "train"), model).select(
         "category",
         (F.col("norm") <= 1.01 * TOLERANCE * F.col("smaller_share") * F.col("start_norm")).alias("converged"),
     )
     # Every labelled row is scored; a row is predicted one of the classes with a fair confidence.
-    scored = mo.with_predictions(rows, model)
+    scored = mo.predictions_of(features, model)
     sane = F.col("y_pred").isin(*model.classes) & F.col("conf").between(1.0 / len(model.classes), 1.0)
     sizes = scored.groupBy("split", F.col("y_true").alias("category")).agg(
         F.count(F.lit(1)).alias("support"), F.bool_and(sane).alias("scored")

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triage import fixed_values as fv
+from triage.functions.binding import let
 from triage.operators import features as ft
 from triage.operators.columns import require_columns
-from triage.operators.lookup import few_rows
+from triage.operators.lookup import few_rows, join_broadcast
 from triage.operators.solver import Problem, fit_logistic
 from triage.sources.folders import write_through
 
@@ -212,10 +213,25 @@ def predict_proba(
 ) -> DataFrame:
     """``(ticket_id, proba)``: logistic of each class score, scaled to sum to 1."""
     scored = decision_function(df, model, text, id_column=id_column)
-    each = scored.withColumn(
-        "_p", F.transform("scores", lambda s: 1.0 / (1.0 + F.exp(-s)))
-    ).withColumn("_sum", F.aggregate("_p", F.lit(0.0), lambda a, p: a + p))
-    return each.select(id_column, F.transform("_p", lambda p: p / F.col("_sum")).alias("proba"))
+    return scored.select(id_column, probabilities(F.col("scores")).alias("proba"))
+
+
+def probabilities(scores: Column) -> Column:
+    """Logistic of each score, scaled to sum to 1."""
+    each = F.transform(scores, lambda s: 1.0 / (1.0 + F.exp(-s)))
+    return let(
+        each,
+        lambda p: let(
+            F.aggregate(p, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(p, lambda x: x / total)
+        ),
+    )
+
+
+def best_class(proba: Column, model: TopicModel) -> tuple[Column, Column]:
+    """(category, confidence); ties go to the first class."""
+    names = F.array(*[F.lit(c) for c in model.classes])
+    best = F.array_max(proba)
+    return F.get(names, (F.array_position(proba, best) - 1).cast("int")), best
 
 
 def predict_with_confidence(
@@ -223,11 +239,11 @@ def predict_with_confidence(
 ) -> DataFrame:
     """``(ticket_id, category, confidence, scores)``; ties go to the first class."""
     names = F.array(*[F.lit(c) for c in model.classes])
-    best = F.array_max("proba")
+    category, confidence = best_class(F.col("proba"), model)
     return predict_proba(df, model, text, id_column=id_column).select(
         id_column,
-        F.get(names, (F.array_position(F.col("proba"), best) - 1).cast("int")).alias("category"),
-        best.alias("confidence"),
+        category.alias("category"),
+        confidence.alias("confidence"),
         F.map_from_arrays(names, "proba").alias("scores"),
     )
 
@@ -256,10 +272,34 @@ def top_features(model: TopicModel, n: int = fv.TOP_FEATURES) -> DataFrame:
     )
 
 
+def vocabulary_of(model: TopicModel) -> ft.TfidfModel:
+    return ft.TfidfModel(model.terms, model.n_terms, model.n_bytes, model.n_docs)
+
+
+def score_features(
+    features: DataFrame,
+    model: TopicModel,
+    *,
+    keep: tuple[str, ...] = ("category",),
+    id_column: str = "ticket_id",
+) -> DataFrame:
+    """``(ticket_id, …keep, scores)`` from the rows of ``sparse_rows``, which need no text again."""
+    entries = features.select(
+        id_column, *keep, F.explode_outer(F.arrays_zip("indices", "values")).alias("_e")
+    ).select(id_column, *keep, F.col("_e.indices").cast("long").alias("idx"), F.col("_e.values").alias("_v"))
+    coefficients = model.terms.select(F.col("idx").cast("long").alias("idx"), "coef")
+    n_bytes = (ft.ROW_BYTES + 8 * len(model.classes)) * model.n_terms
+    found = join_broadcast(entries, coefficients, ["idx"], n_bytes=n_bytes, limit=ft.BROADCAST_BYTES)
+    summed = found.groupBy(id_column, *keep).agg(
+        *(F.sum(F.col("_v") * F.get("coef", F.lit(i))).alias(f"_{i}") for i in range(len(model.classes)))
+    )
+    scores = [F.coalesce(f"_{i}", F.lit(0.0)) + float(b) for i, b in enumerate(model.intercepts)]
+    return summed.select(id_column, *keep, F.array(*scores).alias("scores"))
+
+
 def gradient_norms(
-    df: DataFrame,
+    features: DataFrame,
     model: TopicModel,
-    text: str = "text",
     *,
     label: str = "category",
     id_column: str = "ticket_id",
@@ -267,11 +307,10 @@ def gradient_norms(
 ) -> DataFrame:
     """``(category, norm, start_norm, smaller_share)`` of the fitted loss, from the saved model.
 
-    Works out each class's gradient at the coefficients and at zero as sums over the weights of
+    Works out each class's gradient at the coefficients and at zero as sums over the features of
     the rows fitted on, without the solver. Balanced class weights are assumed.
     """
-    rows = df.where(F.col(label).isNotNull())
-    sizes = class_sizes(rows, label)
+    sizes = class_sizes(features, label)
     total, names = sum(sizes.values()), list(model.classes)
     own = {c: total / (len(names) * sizes[c]) for c in names}
     # Of two classes the second is fitted against the first, and both have their weight.
@@ -283,19 +322,19 @@ def gradient_norms(
         sign, cost = F.when(mine, 1.0).otherwise(-1.0), F.when(mine, own[names[k]]).otherwise(rest)
         score = F.get("scores", F.lit(k))
         pulls += [-sign * cost / (1.0 + F.exp(sign * score)), -sign * cost / 2.0]
-    pulled = decision_function(rows, model, text, id_column=id_column).join(
-        rows.select(id_column, label), id_column
-    ).select(id_column, F.array(*pulls).alias("_pulls"))
-    vocab = ft.TfidfModel(model.terms, model.n_terms, model.n_bytes, model.n_docs)
-    weights = ft.tfidf(rows, vocab, text, id_column=id_column).select(id_column, "idx", "weight")
+    pulled = score_features(features, model, keep=(label,), id_column=id_column).select(
+        id_column, F.array(*pulls).alias("_pulls")
+    )
 
     def part(i: int) -> Column:
         return F.get("_pulls", F.lit(i))
 
     by_term = (
-        weights.join(pulled, id_column)
-        .groupBy("idx")
-        .agg(*(F.sum(F.col("weight") * part(i)).alias(f"_{i}") for i in range(len(pulls))))
+        features.select(id_column, "indices", "values")
+        .join(pulled, id_column)
+        .select("_pulls", F.explode(F.arrays_zip("indices", "values")).alias("_e"))
+        .groupBy(F.col("_e.indices").cast("long").alias("idx"))
+        .agg(*(F.sum(F.col("_e.values") * part(i)).alias(f"_{i}") for i in range(len(pulls))))
         .join(model.terms.select("idx", "coef"), "idx")
     )
     squares = []
@@ -331,10 +370,20 @@ def with_predictions(
     id_column: str = "ticket_id",
 ) -> DataFrame:
     """Predictions table ``(ticket_id, split, y_true, y_pred, conf)`` for evaluation."""
-    predicted = predict_with_confidence(df, model, text, id_column=id_column).select(
-        id_column, F.col("category").alias("y_pred"), F.col("confidence").alias("conf")
-    )
-    truth = df.select(id_column, "split", F.col(label).alias("y_true"))
-    return truth.join(predicted, id_column).select(
-        F.col(id_column).alias("ticket_id"), "split", "y_true", "y_pred", "conf"
+    rows = ft.sparse_rows(df, vocabulary_of(model), text, keep=(label, "split"), id_column=id_column)
+    return predictions_of(rows, model, label=label, id_column=id_column)
+
+
+def predictions_of(
+    features: DataFrame, model: TopicModel, *, label: str = "category", id_column: str = "ticket_id"
+) -> DataFrame:
+    """As ``with_predictions`` from the rows of ``sparse_rows`` with the split kept."""
+    scored = score_features(features, model, keep=(label, "split"), id_column=id_column)
+    category, confidence = best_class(F.col("_proba"), model)
+    return scored.withColumn("_proba", probabilities(F.col("scores"))).select(
+        F.col(id_column).alias("ticket_id"),
+        "split",
+        F.col(label).alias("y_true"),
+        category.alias("y_pred"),
+        confidence.alias("conf"),
     )
