@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from queries.common import names, q, requests, sql_words, table, with_ctes
+from queries.common import names, q, requests, sql_clean, sql_words, table, with_ctes
 from triage import fixed_values as fv
 from triage import fixtures
 from triage.functions import polarity as po
@@ -27,6 +27,21 @@ def lexicon_polarity(spark, d):
     return rows.select("ticket_id", *[F.col(f"p.{c}").alias(c) for c in POLES])
 
 
+def user_turns(spark, d):
+    """What users say in conversations, as tickets."""
+    turns = table(spark, d, "conversations").where(F.col("role") == "user")
+    return turns.select(F.concat_ws("-", "conv_id", "turn").alias("ticket_id"), "text")
+
+
+def clean_conversations(spark, d):
+    return user_turns(spark, d).select("ticket_id", tx.clean_text_or_empty("text").alias("out"))
+
+
+def conversation_polarity(spark, d):
+    rows = user_turns(spark, d).withColumn("p", po.polarity("text"))
+    return rows.select("ticket_id", *[F.col(f"p.{c}").alias(c) for c in POLES])
+
+
 def urgency_signals(spark, d):
     rows = requests(spark, d).withColumn("signals", se.urgency_signals("text"))
     return rows.select(
@@ -391,7 +406,22 @@ def rated_sql(expression, name):
     )
 
 
+TURNS = (
+    "SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS ticket_id, text "
+    "FROM conversations WHERE role = 'user'"
+)
+
 QUERIES = {
+    "clean_conversations": (
+        clean_conversations,
+        f"SELECT ticket_id, {sql_clean('text')} AS out FROM ({TURNS})",
+    ),
+    "conversation_polarity": (
+        conversation_polarity,
+        with_ctes(
+            "SELECT ticket_id, neg, neu, pos, compound FROM polarity", requests=TURNS, **POLARITY_STEPS
+        ),
+    ),
     "lexicon_polarity": (
         lexicon_polarity,
         with_ctes(
