@@ -220,7 +220,8 @@ KNOWN = (
     "coalesce(negates, false) OR contains(word, 'n''t') AS negates, "
     "bool_or(caps) OVER (PARTITION BY ticket_id) AND NOT bool_and(caps) "
     "OVER (PARTITION BY ticket_id) AS some_caps, "
-    "min(CASE WHEN word = 'but' THEN pos_no END) OVER (PARTITION BY ticket_id) AS but_at "
+    "min(CASE WHEN word = 'but' THEN pos_no END) OVER (PARTITION BY ticket_id) AS but_at, "
+    "lead(word) OVER (PARTITION BY ticket_id ORDER BY pos_no) AS next_word "
     "FROM tokens LEFT JOIN lexicon ON token = word"
 )
 LOOKED_BACK = (
@@ -228,7 +229,7 @@ LOOKED_BACK = (
     + ", ".join(
         f"lag({c}, {n}) OVER w AS {c}{n}"
         for n in (1, 2, 3)
-        for c in ("pos_no", "caps", "valence", "degree", "negates")
+        for c in ("pos_no", "caps", "valence", "degree", "negates", "word")
     )
     + " FROM known WINDOW w AS (PARTITION BY ticket_id ORDER BY pos_no)"
 )
@@ -239,15 +240,28 @@ def sql_step(v: str, n: int) -> str:
     sign = f"CASE WHEN {v} > 0 THEN {po.CAPITALS} ELSE -{po.CAPITALS} END"
     degree = f"CASE WHEN {v} < 0 THEN -degree{n} ELSE degree{n} END"
     loud = f"CASE WHEN caps{n} AND some_caps AND degree{n} <> 0 THEN {sign} ELSE 0 END"
+    between = [f"word{k}" for k in range(1, n)]
+    raised = " OR ".join(f"{w} IN ({names(po.NEVER_BEFORE)})" for w in between) or "false"
+    assured = " OR ".join(f"{w} = 'doubt'" for w in between) or "false"
+    damped = "".join(
+        f" + CASE WHEN word{k + 1} IN ({names(po.DAMPING)}) AND word{k} = 'of' "
+        f"THEN CAST({po.DAMPED} AS DOUBLE) ELSE 0 END"
+        for k in ((1, 2) if n == 3 else ())
+    )
     return (
         f"CASE WHEN pos_no{n} IS NOT NULL AND valence{n} IS NULL THEN "
         f"({v} + ({degree} + {loud}) * CAST({scale} AS DOUBLE)) * "
-        f"CASE WHEN negates{n} THEN CAST({po.NEGATION} AS DOUBLE) ELSE 1 END ELSE {v} END"
+        f"CASE WHEN word{n} = 'never' AND ({raised}) THEN CAST({po.RAISED} AS DOUBLE) "
+        f"WHEN word{n} = 'without' AND ({assured}) THEN 1 "
+        f"WHEN negates{n} THEN CAST({po.NEGATION} AS DOUBLE) ELSE 1 END{damped} ELSE {v} END"
     )
 
 
 VALUED = (
-    f"SELECT ticket_id, pos_no, CASE WHEN valence IS NULL OR degree <> 0 THEN 0 ELSE v3 * "
+    f"SELECT ticket_id, pos_no, CASE WHEN valence IS NULL OR degree <> 0 "
+    f"OR (word IN ({names(po.DAMPING)}) AND coalesce(next_word, '') = 'of') THEN 0 ELSE v3 * "
+    f"CASE WHEN word1 = 'least' AND valence1 IS NULL AND coalesce(word2, '') NOT IN ({names(po.LEAST_AFTER)}) "
+    f"THEN CAST({po.NEGATION} AS DOUBLE) ELSE 1 END * "
     f"CASE WHEN pos_no < but_at THEN {po.BEFORE_BUT} WHEN pos_no > but_at THEN {po.AFTER_BUT} ELSE 1 END "
     f"END AS v FROM (SELECT *, {sql_step('v2', 3)} AS v3 FROM ("
     f"SELECT *, {sql_step('v1', 2)} AS v2 FROM (SELECT *, {sql_step('v0', 1)} AS v1 FROM ("

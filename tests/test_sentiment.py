@@ -153,3 +153,16 @@ def test_lexicon_is_sane():
     seed = po.seed_lexicon()
     assert len(seed.valence) > 80 and len(seed.degree) > 20 and "not" in seed.negation
     assert all(-4 <= v <= 4 for v in seed.valence.values())
+
+
+def test_rules_of_two_words(texts):
+    def compound(*values):
+        rows = texts(values).select("ticket_id", po.polarity("text").alias("p")).collect()
+        return [r["p"]["compound"] for r in sorted(rows, key=lambda r: r["ticket_id"])]
+
+    rows = texts(["The service is kind of bad"]).select(po.polarity("text").alias("p")).first()
+    assert rows["p"]["pos"] == 0.0 and rows["p"]["compound"] < 0
+    sure, plain, least, at_least = compound("without doubt great", "great", "the least good", "at least good")
+    assert sure > 0 and plain > 0 and least < 0 < at_least
+    never_so, never, sort_of, full = compound("never so good", "never good", "a sort of good result", "a real of good result")
+    assert never_so > 0 > never and sort_of < full

@@ -13,7 +13,7 @@ import csv
 import string
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.sql import Column
@@ -25,6 +25,9 @@ from triage.functions.binding import column, let
 # Fixed values of the rules.
 CAPITALS = 0.733
 NEGATION = -0.74
+NEVER_BEFORE, RAISED = ("so", "this"), 1.25
+DAMPING, DAMPED = ("kind", "sort"), -0.293
+LEAST_AFTER = ("at", "very")
 DISTANCE = {1: 1.0, 2: 0.95, 3: 0.9}
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
@@ -169,20 +172,40 @@ def _value(
                 prev["caps"] & some_caps & (degree != 0), with_sign_of(v, F.lit(CAPITALS))
             ).otherwise(F.lit(0.0))
             shifted = v + (F.when(v < 0, -degree).otherwise(degree) + loud) * DISTANCE[distance]
-            return F.when(modifiers.negates(prev), shifted * NEGATION).otherwise(shifted)
+            turned_by = F.when(modifiers.negates(prev), NEGATION).otherwise(F.lit(1.0))
+            if distance > 1:
+                between = [word(k) for k in range(1, distance)]
+                raised = (prev["word"] == "never") & any_of(between, NEVER_BEFORE)
+                assured = (prev["word"] == "without") & any_of(between, ("doubt",))
+                turned_by = F.when(raised, RAISED).when(assured, 1.0).otherwise(turned_by)
+            out = shifted * turned_by
+            if distance == 3:
+                for k in (1, 2):
+                    pair = word(k + 1).isin(*DAMPING) & (word(k) == "of")
+                    out = out + F.when(pair, DAMPED).otherwise(F.lit(0.0))
+            return out
 
         return let(value, weigh)
 
+    def word(back: int) -> Column:
+        return F.coalesce(F.get(toks, at - back)["word"], F.lit(""))
+
+    def any_of(found: list[Column], wanted: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [w.isin(*wanted) for w in found])
+
     start = this["valence"]
     value = start + F.when(this["caps"] & some_caps, with_sign_of(start, F.lit(CAPITALS))).otherwise(
         F.lit(0.0)
     )
     for distance in (1, 2, 3):
         value = looked_back(value, distance)
+    least = (word(1) == "least") & F.get(toks, at - 1)["valence"].isNull()
+    value = value * F.when(least & ~word(2).isin(*LEAST_AFTER), NEGATION).otherwise(F.lit(1.0))
     value = value * F.when((but_at > 0) & (at < but_at - 1), BEFORE_BUT).when(
         (but_at > 0) & (at > but_at - 1), AFTER_BUT
     ).otherwise(F.lit(1.0))
-    silent = this["valence"].isNull() | (modifiers.degree(this) != 0)
+    dampens = this["word"].isin(*DAMPING) & (word(-1) == "of")
+    silent = this["valence"].isNull() | (modifiers.degree(this) != 0) | dampens
     return F.when(silent, F.lit(0.0)).otherwise(value)
 
 
