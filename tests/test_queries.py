@@ -54,3 +54,9 @@ def test_entry_points(spark):
     assert set(REGISTRY) <= set(entry.queries())
     assert set(REGISTRY) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["stratified_split", "split_comparison", "split_drift"])
+def test_splits_read_the_texts_once(spark, name):
+    plan = REGISTRY[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
