@@ -2,7 +2,8 @@
 
 Each round links every node's larger neighbours, then its smaller ones, to the smallest node
 it sees, until nothing changes: about log(n) rounds. Minima are combined before the shuffle, and
-each step's input is a written table, so that a hub's edges can be split among tasks.
+each step's input is a written table, so that a hub's edges can be split among tasks. Steps use
+a task per ``ROWS`` edges, since many rounds over few edges would else be mostly empty tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from triage.llm.tables import Table
 
+ROWS = 200_000
+
 
 def components(edges: DataFrame) -> Table:
     """(id, component) for every end of an edge (a, b): the smallest id reachable.
@@ -22,7 +25,9 @@ def components(edges: DataFrame) -> Table:
     mark = None
     while (now := _mark(current.df)) != mark:
         mark = now
-        current = _small_star(_large_star(current))
+        # A star step at most doubles what it reads.
+        tasks = 1 + 2 * mark[0] // ROWS
+        current = _small_star(_large_star(current, tasks), tasks)
     out = Table(
         current.df.select(F.col("a").alias("id"), F.col("b").alias("component"))
         .unionByName(current.df.select(F.col("b").alias("id"), F.col("b").alias("component")))
@@ -46,23 +51,25 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _large_star(edges: Table) -> Table:
+def _large_star(edges: Table, tasks: int) -> Table:
     """Link all larger neighbours of a node to the smallest of the node and its neighbours."""
     both = edges.df.unionByName(edges.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = Table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    out = Table(
-        _oriented(both.join(least.df, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "edges"
+    least = Table(
+        both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks), "least"
     )
+    moved = both.join(least.df, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = Table(moved.coalesce(tasks), "edges")  # may hold edges twice
     least.drop()
     edges.drop()
     return out
 
 
-def _small_star(edges: Table) -> Table:
+def _small_star(edges: Table, tasks: int) -> Table:
     """Link a node and its smaller neighbours to the smallest of them."""
-    least = Table(edges.df.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = Table(edges.df.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks), "least")
     moved = edges.df.join(least.df, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    out = Table(_oriented(moved.unionByName(least.df.select("a", F.col("m").alias("b")))), "edges")
+    every = moved.unionByName(least.df.select("a", F.col("m").alias("b")))
+    out = Table(_oriented(every).coalesce(tasks), "edges")
     least.drop()
     edges.drop()
     return out
