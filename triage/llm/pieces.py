@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +206,7 @@ def encode(docs: DataFrame, model: bytes, audit: float = 1 / 16) -> DataFrame:
                 ids = [e.ids for e in tokenizer.encode_batch_fast(lot, add_special_tokens=False)]
                 back = tokenizer.decode_batch(ids, skip_special_tokens=False)
                 for i, text, x, y in zip(own[at:], lot, ids, back, strict=False):
-                    out["ids"][i], out["round_trip"][i] = x, y == text
+                    out["ids"][i], out["round_trip"][i] = np.array(x, dtype=np.int32), y == text
                     if b["audited"][i]:
                         out["parity"][i] = _original(shared.value).encode(text, num_threads=1) == x
                 at += len(lot)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from triage.sources.folders import work_folder
 
 
+SLICE_BYTES = 4 << 20
+
+
 class Table:
     """A table written to the shared folder; ``drop`` deletes it when nothing reads it any more."""
 
@@ -53,17 +56,28 @@ def ship(spark: SparkSession) -> None:
 def map_lists(
     df: DataFrame, schema: str, work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]]
 ) -> DataFrame:
-    """``mapInArrow`` over plain lists: ``work`` gets and gives dictionaries of columns."""
+    """``mapInArrow`` over plain lists: ``work`` gets and gives dictionaries of columns.
+
+    Batches are handed over in slices of about ``SLICE_BYTES``, since lists of Python objects take
+    many times the room of what they were made from.
+    """
     ship(df.sparkSession)
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        for out in work(b.to_pydict() for b in batches if b.num_rows):
+        for out in work(x.to_pydict() for b in batches for x in _slices(b)):
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = batch.num_rows
+    step = max(1, rows * SLICE_BYTES // max(batch.nbytes, 1))
+    for at in range(0, rows, step):
+        yield batch.slice(at, step)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
