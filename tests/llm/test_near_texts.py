@@ -1,0 +1,103 @@
+import random
+import re
+
+import numpy as np
+
+import corpus_pipeline as P
+from triage.llm import near_texts as N
+from triage.llm import simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def brute_classes(sets):
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = []
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and near(sets[i], sets[j]):
+                pairs.append((j, i))
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))], pairs
+
+
+def planted(rng, n=30):
+    """Texts, copies of them at many likenesses, chains of copies, and a group of one-word edits."""
+    vocabulary = [f"w{i}" for i in range(500)]
+    common = " ".join(rng.choices(vocabulary, k=40))
+    out = []
+
+    def changed(words, k):
+        words = list(words)
+        for at in rng.sample(range(len(words)), k):
+            words[at] = rng.choice(vocabulary)
+        return words
+
+    for i in range(n):
+        words = rng.choices(vocabulary, k=rng.randint(60, 300)) + common.split()
+        out.append(words)
+        out += [changed(words, k) for k in (1, 2, 3, 5, 8)]
+        chain = words
+        for _ in range(4):
+            chain = changed(chain, 2)
+            out.append(chain)
+    group = rng.choices(vocabulary, k=120)
+    out += [changed(group, 1) for _ in range(40)]
+    texts = [" ".join(w) for w in out] + ["", "one", "One ", "a b c d e", "a b c d e f"]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_components_equal_brute_force(docs):
+    texts = planted(random.Random(5))
+    classes, pairs = brute_classes([shingles(t) for t in texts])
+    # The four bits of op7 would see only some of these pairs.
+    prints = np.array([simhash.fingerprint(t) for t in texts]).view(np.uint64)
+    assert len(pairs) > 200 and np.mean([np.bitwise_count(prints[a] ^ prints[b]) <= 4 for a, b in pairs]) < 0.9
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs(list(enumerate(texts))))[0].collect()}
+    assert got == dict(enumerate(classes))
+
+
+def test_fixture_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    classes, _ = brute_classes([shingles(r["text"]) for r in rows])
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"))[0].collect()}
+    assert got == {r["doc_id"]: rows[c]["doc_id"] for r, c in zip(rows, classes, strict=True)}
+
+
+def test_stage_takes_near_copies_that_op7_keeps(spark, docs):
+    rng = random.Random(9)
+    words = rng.choices([f"w{i}" for i in range(500)], k=100)
+    texts = [" ".join(words)]
+    while len(texts) < 12:  # one word changed, and more than four bits
+        other = list(words)
+        other[rng.randrange(100)] = f"new{len(texts)}"
+        if (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(" ".join(other))).bit_count() > 4:
+            texts.append(" ".join(other))
+    kept = P.dedup_near(spark, docs(list(enumerate(texts))), SF).collect()
+    assert [r["doc_id"] for r in kept] == [0]
+
+
+def test_odd_rows_and_empty_table(docs, odd_rows):
+    rows = N.near_duplicates(docs(odd_rows, extra=True))[0].collect()
+    assert len(rows) == len(odd_rows)
+    by = {r["doc_id"]: r["component_id"] for r in rows}
+    assert by[1] == by[2] == 1 and by[3] == by[4] == by[6] == 3 and by[7] == 7 and by[5] == 5
+    assert N.near_duplicates(docs([]))[0].count() == 0
