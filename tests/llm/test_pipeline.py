@@ -86,3 +86,10 @@ def test_odd_and_empty_tables(spark, docs, odd_rows):
         ids = [r["doc_id"] for r in table.collect()]
         assert len(ids) == len(set(ids))
         assert not {3, 4, 6} & set(ids)  # no letter, no language
+
+
+def test_different_texts_without_or_under_one_id_stay(spark, docs):
+    texts = [" ".join(f"{name}{i}" for i in range(20)) for name in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[4])]
+    kept = sorted((r["doc_id"], r["text"]) for r in P.dedup_near(spark, docs(rows), SF).fillna(-1, "doc_id").collect())
+    assert kept == [(-1, texts[0]), (-1, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]
