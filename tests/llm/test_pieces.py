@@ -4,6 +4,7 @@ from pathlib import Path
 
 import sentencepiece
 
+import corpus_pipeline
 from triage.llm import pieces as P
 from triage.llm.queries import PIECE_MODEL, op3_pieces
 
@@ -89,3 +90,11 @@ def test_query_has_every_document(spark):
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r["round_trip"] and r["parity"] in (None, True) for r in rows)
     assert any(r["parity"] for r in rows)
+
+
+def test_query_and_stage_check_every_text(spark, docs, odd_rows):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert all((r["parity"] is None) == (texts[r["doc_id"]] is None) for r in op3_pieces(spark, sf).collect())
+    last = corpus_pipeline.encode_pieces(spark, docs(odd_rows), sf).collect()
+    assert all((r["parity"] is None) == (r["ids"] is None) for r in last)

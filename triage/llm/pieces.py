@@ -3,7 +3,7 @@
 The model's protocol buffer is read field by field; its normaliser, space marker, pieces with
 scores (or the merges that the scores of a BPE model imply) and byte fallback are rebuilt as a
 tokenizers pipeline. Texts are encoded in batches on all threads the library is given. Parity
-with the original library is checked on every ``audit``-th document by hashed id, whole texts.
+with the original library is checked on every document, or on the share ``audit`` of them by hashed id, whole texts.
 
 Defined results: a null text gives null ids and null checks, an empty one no ids; equal texts
 get equal ids; the strings of control pieces in a text are ordinary text. Repeated rows are
@@ -189,7 +189,7 @@ def lots(texts: list[str]) -> Iterator[list[str]]:
         yield lot
 
 
-def encode(docs: DataFrame, model: bytes, audit: float = 1 / 16) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, audit: float = 1.0) -> DataFrame:
     """doc_id, ids, round_trip (decoding gives the text back), parity (ids of the original library).
 
     ``parity`` is null where the document is not in the audited share.
