@@ -70,6 +70,29 @@ def test_several_records_in_a_member():
     assert ids(list(W.salvage(data))) == [0, 1, 2, 3]
 
 
+def test_damage_in_a_member_of_several_records():
+    rows = make(40)
+    parts = [bytearray(r) for _, _, r in rows]
+    parts[7][-10] ^= 0x55  # in the payload, before compression: one record fails its digest
+    found = list(W.salvage(gzip.compress(b"".join(parts), mtime=0) + gzip.compress(make(1)[0][2], mtime=0)))
+    assert ids(found) == [i for i in range(40) if i != 7] + [0]
+    (gap,) = [f for f in found if f.reason]
+    assert "of the member" in gap.reason and gap.offset == 0
+
+    whole = gzip.compress(b"".join(r for _, _, r in rows), mtime=0)
+    behind = gzip.compress(make(1)[0][2], mtime=0)
+    wrong_sum = bytearray(whole)
+    wrong_sum[-6] ^= 0x55
+    found = list(W.salvage(bytes(wrong_sum) + behind))
+    assert ids(found) == [*range(40), 0] and lost(found) == [(0, len(whole))]
+    cut = list(W.salvage(whole[: len(whole) // 2] + behind))
+    assert ids(cut)[:10] == list(range(10)) and ids(cut)[-1] == 0 and len(lost(cut)) >= 1
+    middle = bytearray(whole)
+    middle[len(whole) // 2] ^= 0x55
+    found = list(W.salvage(bytes(middle)))
+    assert ids(found)[:10] == list(range(10)) and lost(found)
+
+
 PAGES = "page_id long, url string, html string"
 
 

@@ -8,7 +8,8 @@ smallest id is a response, others are revisits that refer to it.
 The reader goes through members, or version lines of uncompressed records. A record counts if
 its header can be read, its block has the stated length and ends as it must, and its payload has
 the stated digest. Behind anything else it searches for the next member or version line at which a
-record counts, goes on from there, and logs the bytes between as a gap.
+record counts, goes on from there, and logs the bytes between as a gap. The same is done with the content of a member
+that holds several records, and with what can be decompressed of a damaged one.
 
 Defined results: a null payload is empty; rows that share the smallest id of a payload are all
 responses, as are rows without id that share theirs with no row that has one; line ends in a URL
@@ -34,6 +35,7 @@ EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 END = b"\r\n\r\n"
+CUT = "member without end"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 #: An archive file is cut after so many records.
 RECORDS_PER_FILE = 2000
@@ -173,55 +175,97 @@ def parse_record(data: bytes, at: int) -> tuple[Found, int]:
     return Found(at, stop + 4 - at, headers, None if kind == "revisit" else payload, total), stop + 4
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends."""
-    d, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof:
-            if pos >= len(data):
-                raise Damaged("member without end")
-            out.append(d.decompress(data[pos : pos + 65536]))
-            pos += 65536
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    return b"".join(out), min(pos, len(data)) - len(d.unused_data)
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """What can be decompressed of the gzip member at ``at``, where that ends, and what is wrong with it."""
+    d, out, pos, step, bad = zlib.decompressobj(31), [], at, 65536, -1
+    while not d.eof:
+        if pos >= len(data):
+            return b"".join(out), len(data), CUT
+        if pos == bad:
+            step = 1  # by single bytes, for what stands before the damage
+        try:
+            out.append(d.decompress(data[pos : pos + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), pos, f"member: {e}"
+            d, out, pos, bad = zlib.decompressobj(31), [], at, pos
+            continue
+        pos += step
+    return b"".join(out), min(pos, len(data)) - len(d.unused_data), None
 
 
-def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Found], int]:
-    """Records of the member or the uncompressed record at ``at``, and where it ends."""
+def _inside(content: bytes) -> Iterator[Found]:
+    """Records that count and gaps between them, by their places in a member's content."""
+    at, lost, reason = 0, None, ""
+    while at < len(content):
+        try:
+            found, end = parse_record(content, at)
+        except Damaged as e:
+            if lost is None:
+                lost, reason = at, str(e)
+            at = content.find(b"WARC/1.", at + 1)
+            if at < 0:
+                break
+            continue
+        if lost is not None:
+            yield Found(lost, at - lost, reason=reason)
+            lost = None
+        yield found
+        at = end
+    if lost is not None:
+        yield Found(lost, len(content) - lost, reason=reason)
+
+
+def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Found], int, str | None]:
+    """Records, and gaps inside, of the member or the uncompressed record at ``at``, where it ends, and what is wrong with it."""
     if not data.startswith(MAGIC, at):
         found, end = parse_record(data, at)
-        return [found], end
-    content, end = _member(view, at)
-    records, pos = [], 0
-    while pos < len(content):
-        found, pos = parse_record(content, pos)
-        found.offset, found.length = at, end - at
-        records.append(found)
-    return records, end
+        return [found], end, None
+    content, end, wrong = _member(view, at)
+    inside = list(_inside(content))
+    # A record that ends where a cut-off member does is part of the gap.
+    if wrong == CUT and inside and inside[-1].reason is None and inside[-1].offset + inside[-1].length == len(content):
+        inside.pop()
+    if all(x.reason for x in inside) and (inside or wrong):
+        raise Damaged(wrong or inside[0].reason)
+    for x in inside:
+        if x.reason:
+            x.reason = f"bytes {x.offset} to {x.offset + x.length} of the member: {x.reason}"
+        x.offset, x.length = at, end - at
+    return inside, end, wrong
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """All records that count, and the gaps between them, in order."""
+    """All records that count, and the gaps between and inside of members, in order.
+
+    Of a member with damage the records before it count; the gap then begins where the member does.
+    """
     view, at, lost, reason = memoryview(data), 0, None, ""
     while at < len(data):
         try:
-            records, end = _at(data, view, at)
+            found, end, wrong = _at(data, view, at)
         except Damaged as e:
             if lost is None:
                 lost, reason = at, str(e)
-            nexts = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x > 0]
-            at = min(nexts, default=len(data))
+            at = _next(data, at)
             continue
-        if records and lost is not None:
+        if found and lost is not None:
             yield Found(lost, at - lost, reason=reason)
             lost = None
-        yield from records
-        at = end
+        yield from found
+        if wrong:
+            lost, reason, at = at, wrong, _next(data, at)
+        else:
+            at = end
     if lost is not None:
         yield Found(lost, len(data) - lost, reason=reason)
 
 
+def _next(data: bytes, at: int) -> int:
+    """The next place behind ``at`` at which a member or a record may begin."""
+    return min((x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x > 0), default=len(data))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row per record and per gap: file, offset, length, reason (gaps), headers, payload, payload_bytes."""
     schema = (
