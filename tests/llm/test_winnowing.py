@@ -103,6 +103,17 @@ def test_native_plan_and_odd_rows(docs, odd_rows, no_python):
     assert twins[0]["fingerprint"] == twins[1]["fingerprint"]
 
 
+def test_long_texts_without_blanks_keep_their_likeness(docs):
+    rng = random.Random(8)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) for n in (399, 400, 3000)]
+    got = W.compare_with_edits(docs(list(enumerate(texts)))).collect()
+    assert len(got) == 3 and all(0.4 < r["near_edited"] < 0.8 for r in got)
+    # A pair on both sides of the old limit of 400 code points.
+    base = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(399))
+    r = W.compare_with_edits(docs([(1, base), (2, base + "x" * 20)])).orderBy("doc_id").first()
+    assert r["near_next"] > 0.8
+
+
 def test_one_document_is_its_own_next(docs):
     r = W.compare_with_edits(docs([(7, "abcd efgh")])).first()
     assert r["near_next"] == 1.0

@@ -1,7 +1,7 @@
 """Winnowing fingerprints with DataFrame functions only.
 
-A text is cut into tokens (lower-cased words; for texts under ``SHORT`` code points also single
-characters). Every run of k tokens is hashed, and of every w consecutive hashes the smallest is
+A text is cut into tokens: lower-cased words, and single characters, by which texts of every
+length are compared. Every run of k tokens is hashed, and of every w consecutive hashes the smallest is
 kept, the rightmost of equal ones, with its position. Any common run of w + k - 1 tokens of two
 texts is therefore found in both fingerprints. A hash (37 bits) and the complement of its
 position (26 bits) stand in one long, so that the least long of a window is the rightmost
@@ -23,7 +23,8 @@ from triage.functions.binding import let
 
 WORD_K, WORD_W = 5, 6
 CHAR_K, CHAR_W = 6, 4
-SHORT = 400
+#: Texts under so many code points have prints of characters: all that a string can hold.
+SHORT = 1 << 31
 BITS = 26
 LAST = (1 << BITS) - 1
 
@@ -74,9 +75,9 @@ def positions(packed: Column) -> Column:
 
 
 def with_prints(df: DataFrame, text: str, words: str, chars: str) -> DataFrame:
-    """Adds two columns of packed prints; that of characters is null from ``SHORT`` code points on."""
+    """Adds two columns of packed prints, of words and of characters."""
     return df.withColumn(words, winnow(word_tokens(F.col(text)), WORD_K, WORD_W)).withColumn(
-        chars, F.when(F.char_length(text) < SHORT, winnow(char_tokens(F.col(text)), CHAR_K, CHAR_W))
+        chars, winnow(char_tokens(F.col(text)), CHAR_K, CHAR_W)
     )
 
 
@@ -86,7 +87,7 @@ def digest(words: str, chars: str) -> Column:
         F.concat_ws(
             ";",
             F.array_join(F.col(words).cast("array<string>"), ","),
-            F.array_join(F.coalesce(chars, F.array()).cast("array<string>"), ","),
+            F.array_join(F.col(chars).cast("array<string>"), ","),
         )
     )
 
@@ -100,16 +101,13 @@ def _jaccard(a: Column, b: Column) -> Column:
     return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
-def likeness(words: str, chars: str, other_words: str, other_chars: str) -> Column:
-    """Share of common hashes, over characters where both texts are short, else over words."""
-    both = F.col(chars).isNotNull() & F.col(other_chars).isNotNull()
-    return F.when(both, _jaccard(hashes(F.col(chars)), hashes(F.col(other_chars)))).otherwise(
-        _jaccard(hashes(F.col(words)), hashes(F.col(other_words)))
-    )
+def likeness(chars: str, other_chars: str) -> Column:
+    """Share of common hashes of character runs."""
+    return _jaccard(hashes(F.col(chars)), hashes(F.col(other_chars)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, words, chars and the same as next_...: each text with the next by ascending doc_id.
+    """doc_id, text, words, chars, next_text and next_chars: each text with the next by ascending doc_id.
 
     Ids are cut into ranges of about equal size at quantiles over all ids. Texts move once, to
     their range; each range also gets the first document of the following one, so that the
@@ -132,7 +130,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     every = rows.withColumn("ghost", F.lit(False)).unionByName(guests).repartition(n // 4, "block")
     return (
         with_prints(every, "text", "words", "chars")
-        .withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "words", "chars")})
+        .withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "chars")})
         .filter(~F.col("ghost"))
         .drop("ghost", "block")
     )
@@ -158,6 +156,6 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         digest("words", "chars").alias("fingerprint"),
         digest("edited_words", "edited_chars").alias("edited_fingerprint"),
-        likeness("words", "chars", "edited_words", "edited_chars").alias("near_edited"),
-        likeness("words", "chars", "next_words", "next_chars").alias("near_next"),
+        likeness("chars", "edited_chars").alias("near_edited"),
+        likeness("chars", "next_chars").alias("near_next"),
     )
