@@ -127,6 +127,27 @@ def test_fit_rows_are_bounded(train):
     assert 0 < rows.count() == sum(sizes.values()) < train.count()
 
 
+def test_rare_classes_are_fitted_on_whole(spark):
+    rows = spark.range(50_100).selectExpr("id as ticket_id", "if(id % 501 = 0, 'rare', 'common') as category")
+    chosen, sizes = mo._fit_rows(rows, "category", "ticket_id", 1000)
+    assert sizes["rare"] == 100 and 800 < sizes["common"] < 1200
+    assert chosen.count() == sum(sizes.values())
+
+
+def test_rows_count_for_those_they_stand_for():
+    labels = np.array([0, 1, 1])
+    index, value, w = np.array([0, 1, 0]), np.array([1.0, 0.5, 2.0]), np.array([[0.3], [-0.2], [0.1]])
+
+    def sums(rows, stands_for):
+        out = np.zeros(1), np.zeros((1, 3)), np.zeros((1, 3))
+        lengths = np.arange(len(rows) + 1)
+        p = [solver.Problem(1, 2, 3, 1.5, 1.0, stands_for)]
+        solver._batch_sums(labels[rows], lengths, index[rows], value[rows], w, p, *out)
+        return np.concatenate([x.ravel() for x in out])
+
+    assert np.allclose(sums([0, 1, 2], (3.0, 2.0)), sums([0, 0, 0, 1, 1, 2, 2], ()))
+
+
 def test_canonical_tickets(spark, model):
     asked = table(spark, CANONICAL)
     got = {r["ticket_id"]: r["category"] for r in mo.predict(asked, model).collect()}

@@ -25,6 +25,8 @@ from triage.sources.folders import write_through
 # Of a larger table about so many labelled rows are fitted on, which bounds the vocabulary and
 # with it the dense coefficients on the driver. Scoring and evaluation read every row.
 MAX_FIT_ROWS = 200_000
+# Classes with fewer labelled rows are fitted on whole, as far as the bound divides by the classes.
+CLASS_FLOOR = 1000
 # Coefficients are held per class.
 MOST_CLASSES = 1000
 
@@ -96,10 +98,14 @@ def fit_topics(
 
     Features are built once and written; every pass of the solver is a distributed sum
     of gradients over them. Of a table with more than ``max_fit_rows`` labelled rows those
-    are taken whose hashed id falls below the share, in every class alike.
+    are taken whose hashed id falls below their class's share, which leaves every class at
+    least ``CLASS_FLOOR`` rows or all it has. Rows count for those they stand for, and
+    classes are weighted by their sizes in the whole table.
     """
     require_columns(df, (id_column, text, label))
-    rows, sizes = _fit_rows(df.where(F.col(label).isNotNull()), label, id_column, max_fit_rows)
+    labelled = df.where(F.col(label).isNotNull())
+    full = class_sizes(labelled, label)
+    rows, sizes = _fit_rows(labelled, label, id_column, max_fit_rows, full)
     if len(sizes) < 2:
         raise ValueError("training needs at least two classes")
     names = list(sizes)
@@ -110,7 +116,7 @@ def fit_topics(
     if not vocab.n_terms:
         raise ValueError("no terms: change min_df or max_df")
     if class_weight == "balanced":
-        weights = {c: total / (len(sizes) * n) for c, n in sizes.items()}
+        weights = {c: sum(full.values()) / (len(sizes) * full[c]) for c in names}
     else:
         weights = {c: float((class_weight or {}).get(c, 1.0)) for c in names}
 
@@ -122,8 +128,11 @@ def fit_topics(
         "features",
     )
 
+    share = total / sum(full.values())
+    stands_for = tuple(share * full[c] / sizes[c] for c in names) if share < 1 else ()
+
     def problem(i: int, rest_weight: float) -> Problem:
-        return Problem(i, sizes[names[i]], total, weights[names[i]], rest_weight)
+        return Problem(i, sizes[names[i]], total, weights[names[i]], rest_weight, stands_for)
 
     if len(names) == 2:
         problems = [problem(1, weights[names[0]])]
@@ -145,15 +154,21 @@ def fit_topics(
 
 
 def _fit_rows(
-    rows: DataFrame, label: str, id_column: str, most: int
+    rows: DataFrame, label: str, id_column: str, most: int, sizes: dict[str, int] | None = None
 ) -> tuple[DataFrame, dict[str, int]]:
-    """The rows to fit on and how many of each class there are."""
-    sizes = class_sizes(rows, label)
+    """The rows to fit on and how many of each class there are; ``sizes`` of all classes if known."""
+    sizes = sizes or class_sizes(rows, label)
     total = sum(sizes.values())
     if total <= most:
         return rows, sizes
+    floor = max(1, min(CLASS_FLOOR, most // len(sizes)))
+    cuts = [
+        x
+        for c, n in sizes.items()
+        for x in (F.lit(c), F.lit(int(min(1.0, max(floor, most / total * n) / n) * (1 << 30))))
+    ]
     place = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_column).cast("string")), F.lit(1 << 30))
-    chosen = rows.where(place < int(most / total * (1 << 30)))
+    chosen = rows.where(place < F.element_at(F.create_map(*cuts), F.col(label)))
     return chosen, class_sizes(chosen, label)
 
 
