@@ -98,3 +98,22 @@ def test_beam_widens_until_a_group_is_whole():
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     found = H.links_above(H.Graph(v), v[:5], 0.98, 8, 2)
     assert all(set(f) >= set(range(300)) for f in found)
+
+
+def test_audit_sees_what_another_shard_may_miss(monkeypatch):
+    """Shards of one label between which only one query in a hundred has a link."""
+    rng = np.random.default_rng(3)
+    dims, size = 48, 1500
+    v = rng.normal(size=(4 * size, dims))
+    linked = rng.choice(size, 15, replace=False)
+    v[size + linked] = v[linked] + 0.02 * rng.normal(size=(15, dims)) * np.linalg.norm(v[linked], axis=1, keepdims=True) / np.sqrt(dims)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = H.Graph(v[:size])
+    widths = []
+    search = H.Graph.search
+    monkeypatch.setattr(H.Graph, "search", lambda self, q, width: widths.append(width) or search(self, q, width))
+    found = H.links_above(graph, v[size : 2 * size], 0.98, 8, 64)
+    sims = v[size : 2 * size] @ v[:size].T
+    assert sum(len(f) for f in found) == (sims >= 0.98).sum() >= 10
+    hits = [len(set(search(graph, v[size + k], widths[-1])[0].tolist()) & set(np.argsort(-sims[k])[:10].tolist())) for k in range(0, size, 25)]
+    assert np.sum(hits) / (10 * len(hits)) >= 0.95

@@ -5,7 +5,8 @@ label's nodes are cut into shards of at most about ``shard_size``; each shard bu
 writes it as one row. Every shard is queried with every block of its label's nodes, each pair
 (shard, block) in a task of its own that holds one graph and one block. A query whose whole beam
 is above the threshold is repeated with a wider beam; then queries drawn from the block are
-compared with brute force, and the beam of all is doubled until the audit finds every link.
+compared with brute force, and the beam of all is doubled until the audit finds every link and
+nearly all of the nearest neighbours, linked or not.
 Links are verified by cosine in double precision. A task gives per node the weight of its links
 and a spanning forest of them, never the pairs.
 
@@ -29,6 +30,8 @@ from triage.llm.components import components
 from triage.llm.tables import Table, ship
 
 M, M0, BUILD_BEAM = 12, 24, 48
+#: Of so many nearest neighbours of the audited queries, linked or not, this share is found.
+NEAREST, RECALL = 10, 0.99
 
 
 class Graph:
@@ -182,7 +185,8 @@ def links_above(graph: Graph, queries: np.ndarray, threshold: float, beam: int,
     """For every query the graph's nodes at a cosine of ``threshold`` or more.
 
     Widens the beam of a query all of whose beam is that near, and of all queries until
-    ``audit`` of them, spread over the block, agree with brute force.
+    ``audit`` of them, spread over the block, agree with brute force: every link is found, and
+    ``RECALL`` of their nearest neighbours, since few queries have links in another shard.
     """
     n = len(graph.vectors)
     slack = threshold - 1e-9
@@ -205,14 +209,22 @@ def links_above(graph: Graph, queries: np.ndarray, threshold: float, beam: int,
 
     picked = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
     sims = queries[picked] @ graph.vectors.T
-    wanted = []
+    wanted, top = [], min(NEAREST, n)
     for k, row in zip(picked, sims, strict=True):
         near = np.flatnonzero(row >= slack)
-        wanted.append(set(exact(near, row[near], queries[k]).tolist()))
-    while True:
-        if beam >= n or all(w <= set(one(queries[k], beam).tolist()) for k, w in zip(picked, wanted, strict=True)):
-            return [one(q, beam) for q in queries]
+        wanted.append((set(exact(near, row[near], queries[k]).tolist()), np.partition(row, n - top)[n - top] - 1e-12))
+
+    def passes() -> bool:
+        reached = 0
+        for k, (links, least) in zip(picked, wanted, strict=True):
+            reached += min(top, int((graph.search(queries[k], max(beam, top))[1] >= least).sum()))
+            if not links <= set(one(queries[k], beam).tolist()):
+                return False
+        return reached >= RECALL * top * len(picked)
+
+    while beam < n and not passes():
         beam *= 2
+    return [one(q, beam) for q in queries]
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
