@@ -66,3 +66,23 @@ def test_prefixes_are_the_rarest_words():
     assert index.keys == {"b", "a"}
     assert index.matches({"a", "c", "d", "e"}) == {"t": 0.8}
     assert index.matches({"c", "d", "e"}) == {}
+
+
+def test_wrapped_notices_are_found(docs):
+    long = " ".join(f"clause{i} of the licence" for i in range(200))
+    templates = {**L.TEMPLATES, "long": long}
+    rows, wanted = [], []
+    for label, text in templates.items():
+        words = text.split()
+        for step in (len(words) // 2 + 1, 9):
+            if step < len(words):
+                parts = [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
+                rows.append((len(rows), "# before it\n# " + "\n# ".join(parts) + "\nand behind it"))
+                wanted.append(label)
+    got = sorted(L.scan(docs(rows), templates=templates).collect(), key=lambda r: r["doc_id"])
+    for r, label in zip(got, wanted, strict=True):
+        found = {h["label"] for h in r["hits"]} | {h["label"] for h in r["wrapped"]}
+        assert label in found, (label, found)
+    assert sum(label in {h["label"] for h in r["wrapped"]} for r, label in zip(got, wanted)) > 10
+    apart = ("zzz " * 100).join(f"{w}\n" for w in L.TEMPLATES["bsd"].split())
+    assert not L.scan(docs([(1, apart)])).first()["wrapped"]

@@ -8,6 +8,10 @@ m - ceil(threshold m) + 1 words (prefix filter), at least ceil(threshold m) word
 filter), and after a shared prefix word enough words left on both sides (positional filter);
 candidates that pass are counted in full, so the join is exact.
 
+A notice wrapped over several lines is found in windows of words that cross line ends, as long as
+the template's words over the threshold; the prefix and length filters are put to the whole text.
+Where a line holds the template by itself, its windows are not given again.
+
 Defined results: null and empty texts have no words, no places and empty labels; a block that
 meets several templates gets them all; repeated rows are scanned each. Extra columns are left out.
 """
@@ -88,6 +92,7 @@ class TemplateIndex:
             for p, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefixes.setdefault(w, []).append((label, p))
         self.keys = frozenset(self.prefixes)
+        self.room = {x: math.ceil(len(words_of(templates[x])) / threshold - 1e-9) for x in self.templates}
 
     def matches(self, block: set[str]) -> dict[str, float]:
         """Containment of every template that reaches the threshold in the block's words."""
@@ -112,6 +117,37 @@ class TemplateIndex:
         return out
 
 
+    def wrapped(self, words: list[str], lines: list[int], whole: set[tuple[int, str]]) -> list[dict]:
+        """Templates in windows over several lines; ``lines`` has each word's line, ``whole`` the (line, label) found."""
+        present = set(words)
+        out = []
+        for label in sorted({x for w in self.keys & present for x, _ in self.prefixes[w]}):
+            own, need = self.templates[label]
+            if len(own & present) < need:
+                continue
+            at = [i for i, w in enumerate(words) if w in own]
+            seen: Counter = Counter()
+            first, best, end = 0, None, -1
+            for i in at:
+                seen[words[i]] += 1
+                # Leave what is out of the window, and words at its start that stand in it again.
+                while i - at[first] >= self.room[label] or seen[words[at[first]]] > 1:
+                    seen[words[at[first]]] -= 1
+                    if not seen[words[at[first]]]:
+                        del seen[words[at[first]]]
+                    first += 1
+                a, b, share = lines[at[first]], lines[i], len(seen) / len(own)
+                if len(seen) < need or a == b or any((n, label) in whole for n in range(a, b + 1)):
+                    continue
+                if at[first] > end:  # of windows that overlap the best one counts
+                    best = {"line": a, "last_line": b, "label": label, "containment": share}
+                    out.append(best)
+                elif share > best["containment"]:
+                    best.update(line=a, last_line=b, containment=share)
+                end = i
+        return out
+
+
 def word_frequencies(docs: DataFrame, templates: Mapping[str, str]) -> dict[str, int]:
     """In how many lines of the corpus each word of the templates stands (a bounded table)."""
     wanted = frozenset(w for t in templates.values() for w in words_of(t))
@@ -137,27 +173,31 @@ def scan(
     """One row per document: word and phrase counts, and every line that holds a template.
 
     ``hits`` lists (line, label, containment); ``score`` is 1 where a phrase stands, else the
-    best containment of a hit, else 0.
+    best containment of a hit, else 0. ``wrapped`` lists (line, last_line, label, containment) of
+    templates that go over several lines.
     """
     index = docs.sparkSession.sparkContext.broadcast(
         (TemplateIndex(templates, word_frequencies(docs, templates), threshold), [(words_of(p), x) for p, x in phrases.items()])
     )
     schema = (
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
-        "hits array<struct<line:int,label:string,containment:double>>, score double"
+        "hits array<struct<line:int,label:string,containment:double>>, score double, "
+        "wrapped array<struct<line:int,last_line:int,label:string,containment:double>>"
     )
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         found, wanted = index.value
         first = frozenset(p[0] for p, _ in wanted if p)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "hits", "score")}
+            out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "hits", "score", "wrapped")}
             for text in b["text"]:
                 starts, labels, hits, total = [], set(), [], 0
                 words: list[str] = []
+                lines: list[int] = []
                 for number, line in enumerate((text or "").translate(UPPER).split("\n")):
                     own = WORDS.findall(line)
                     words += own
+                    lines += [number] * len(own)
                     block = set(own)
                     if not found.keys.isdisjoint(block):
                         hits += [{"line": number, "label": x, "containment": c} for x, c in sorted(found.matches(block).items())]
@@ -173,6 +213,7 @@ def scan(
                 out["last_word"].append(max(starts, default=None))
                 out["base_labels"].append(sorted(labels))
                 out["hits"].append(hits)
+                out["wrapped"].append(found.wrapped(words, lines, {(h["line"], h["label"]) for h in hits}))
                 out["score"].append(1.0 if starts else max((h["containment"] for h in hits), default=0.0))
             yield {"doc_id": b["doc_id"], **out}
 

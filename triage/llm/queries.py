@@ -106,7 +106,9 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_documents(spark, sf_dir))
-    both = F.array_union("base_labels", F.transform("hits", lambda h: h["label"]))
+    every = F.concat(*[F.transform(c, lambda h: h["label"]) for c in ("hits", "wrapped")])
+    both = F.array_union("base_labels", every)
+    over_lines = F.array_max(F.transform("wrapped", lambda h: h["containment"]))
     return found.select(
         "doc_id",
         "n_words",
@@ -115,7 +117,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last_word",
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(both)), ",").alias("labels"),
-        "score",
+        F.greatest("score", over_lines).alias("score"),
     )
 
 
