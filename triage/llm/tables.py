@@ -71,6 +71,24 @@ def map_lists(
     return df.mapInArrow(run, schema)
 
 
+def map_arrow(
+    df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]
+) -> DataFrame:
+    """``mapInArrow`` whose ``work`` gets record batches and gives dictionaries of columns."""
+    ship(df.sparkSession)
+    arrow = _arrow_schema(df.sparkSession, schema)
+
+    def run(batches):
+        for out in work(batches):
+            yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else _array(v, arrow.field(k).type) for k, v in out.items()}, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return pa.array(values if hasattr(values, "__len__") and not isinstance(values, range) else list(values), type=kind)
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     rows = batch.num_rows
     step = max(1, rows * SLICE_BYTES // max(batch.nbytes, 1))
