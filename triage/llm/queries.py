@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import hnsw, language, licenses, line_runs, mixing, pieces, simhash, toxicity, warc, whitening, winnowing
-from triage.llm.sql import LICENSES, LINE_RUNS, WARC
+from triage.llm import hnsw, language, licenses, line_runs, mixing, pieces, ranked_search, simhash, toxicity, warc, whitening, winnowing
+from triage.llm.sql import LICENSES, LINE_RUNS, RANKED_SEARCH, WARC
 from triage.llm.tables import id_remainder
 from triage.sources.folders import work_folder
 
@@ -121,6 +121,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = ranked_search.search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return out
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = whitening.whiten(_table(spark, sf_dir, "embeddings"))
     return out
@@ -137,7 +142,8 @@ QUERIES = {
     "op6_language": op6_language,
     "op9_winnowing": op9_winnowing,
     "op10_licenses": op10_licenses,
+    "op12_ranked_search": op12_ranked_search,
     "op13_whitening": op13_whitening,
 }
 #: The others hash or learn in ways SQL has no words for; tests hold them against plain versions.
-SQL = {"op5_line_runs": LINE_RUNS, "op8_warc": WARC, "op10_licenses": LICENSES}
+SQL = {"op5_line_runs": LINE_RUNS, "op8_warc": WARC, "op10_licenses": LICENSES, "op12_ranked_search": RANKED_SEARCH}

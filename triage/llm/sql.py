@@ -105,3 +105,28 @@ def _line_runs(min_words: int = 10) -> str:
 
 
 LINE_RUNS = _line_runs()
+
+
+def _ranked_search(most: int = 20) -> str:
+    """Every document scored for every item, without lists or bounds."""
+    words = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents), "
+        "n AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0), "
+        "a AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n), "
+        "tf AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t), "
+        "df AS (SELECT t, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY t), "
+        f"q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({words}) AS t FROM "
+        "(SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, t), "
+        "qw AS (SELECT item_id, t, times * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w "
+        "FROM q JOIN df USING (t), a), "
+        "m AS (SELECT r, doc_id, 100 - 25 + ((25 * n * docs) // terms) AS m FROM n, a), "
+        "s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score "
+        "FROM qw JOIN tf USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id), "
+        "k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s "
+        "WHERE score > 0) "
+        f"SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= {most}"
+    )
+
+
+RANKED_SEARCH = _ranked_search()
