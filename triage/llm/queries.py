@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import hnsw, language, licenses, line_runs, mixing, pieces, ranked_search, simhash, toxicity, warc, whitening, winnowing
+from triage.llm import hnsw, language, licenses, line_runs, mixing, pieces, ranked_search, simhash, toxicity, url_templates, warc, whitening, winnowing
 from triage.llm.sql import LICENSES, LINE_RUNS, RANKED_SEARCH, WARC
 from triage.llm.tables import id_remainder
 from triage.sources.folders import work_folder
@@ -121,6 +121,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = url_templates.judge(_table(spark, sf_dir, "pages"))
+    return out
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = ranked_search.search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return out
@@ -142,6 +147,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op9_winnowing": op9_winnowing,
     "op10_licenses": op10_licenses,
+    "op11_url_filter": op11_url_filter,
     "op12_ranked_search": op12_ranked_search,
     "op13_whitening": op13_whitening,
 }
