@@ -66,6 +66,37 @@ def test_unigram_models():
             assert same / len(texts) >= (0.97 if squeeze else 0.9), (fallback, squeeze, same)
 
 
+def test_words_of_any_model_give_what_whole_texts_give():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghij   éx\n\U0001f600") for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    texts += ["", " ", "  ", "   a  b ", "\u0000 a", *texts[:5]]
+    for data in (MODEL, unigram_model(True, True), unigram_model(True, False), unigram_model(False, True)):
+        coder = P.Coder(data)
+        assert coder.core is not None
+        for at in range(0, len(texts), 60):
+            lot = texts[at : at + 60]
+            for got, want in zip(coder.encode(lot), coder._encode_whole(lot), strict=True):
+                assert list(got.to_pylist() if hasattr(got, "to_pylist") else got) == list(
+                    want.to_pylist() if hasattr(want, "to_pylist") else want
+                )
+
+
+def test_another_id_or_form_is_reported():
+    coder = P.Coder(MODEL)
+    coder.encode(["one two three"])
+    coder.same[[w.strip() for w in coder.words.to_pylist()].index("two")] = False
+    assert coder.encode(["one three", "three two", ""])[2].tolist() == [True, False, True]
+    coder.back[0] = False
+    assert not coder.encode([coder.words[0].as_py().strip()])[1][0]
+
+    class Other:
+        def normalize(self, texts):
+            return ["x"] * len(texts)
+
+    coder.original = Other()
+    assert not coder.encode(["one"])[2].any()
+
+
 def test_odd_texts(spark, docs, odd_rows):
     strange = ["<s> </s> <unk> <0x41>", " ", "   a  b ", "▁x ▁", "\t\r\n", "é́‍", "x" * 5000, "\u0000a", "日本語のテキスト"]
     rows = odd_rows + [(100 + i, t) for i, t in enumerate(strange)]
