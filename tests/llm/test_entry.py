@@ -1,6 +1,7 @@
 """Registration, the SQL of queries that have one, and the import guard."""
 
 import json
+import os
 import re
 import shutil
 import subprocess
@@ -33,11 +34,17 @@ def test_entry_works_without_the_subpackage(tmp_path):
             shutil.copytree(source, tmp_path / part, ignore=ignore)
         else:
             shutil.copy(source, tmp_path / part)
-    code = "import json, __spark_entry__ as e; print('NAMES' + json.dumps(sorted(e.queries())))"
+    code = (
+        "import json, sys, __spark_entry__ as e; print('NAMES' + json.dumps([sorted(e.queries()), "
+        "[m.__file__ for n, m in sys.modules.items() if n.split('.')[0] in ('triage', 'queries', 'corpus_pipeline')]]))"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}  # which may name the repository itself
 
     def names():
-        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
-        return set(json.loads(out.stdout.split("NAMES")[1]))
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env=env)
+        found, files = json.loads(out.stdout.split("NAMES")[1])
+        assert all(f.startswith(str(tmp_path)) for f in files)
+        return set(found)
 
     whole = names()
     assert set(QUERIES) | {"pipeline"} <= whole

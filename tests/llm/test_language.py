@@ -1,3 +1,10 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from triage.llm import language as G
@@ -14,13 +21,108 @@ def test_held_out_accuracy(spark):
     assert got.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def model_of(languages, words, ngrams):
+    """A model from scores of words and of n-grams."""
+    keys = np.concatenate([G.hashes(list(words), 0), *(G.hashes([g], len(g)) for g in ngrams)])
+    scores = np.array([*words.values(), *ngrams.values()])
+    order = np.argsort(keys)
+    return G.LanguageModel(languages, [1.0] * len(languages), keys[order], scores[order])
+
+
 def test_words_first_then_longest_known_grams():
-    m = G.LanguageModel(["a", "b"], [1, 1], {"house": (-1.0, -9.0)}, {"2ho": (-2.0, -4.0), "3use": (-3.0, -1.0), "1x": (-5.0, -6.0)})
-    assert m.word_scores("house") == (-1.0, -9.0)
-    assert m.word_scores("houses") == (-3.0, -1.0)  # "use" is longer than "ho"
-    assert m.word_scores("hoax") == (-2.0, -4.0)
-    assert m.word_scores("xxxx") == (-5.0, -6.0)
-    assert m.word_scores("qqq") == (0.0, 0.0)
+    m = model_of(["a", "b"], {"house": (-1.0, -9.0)}, {"ho": (-2.0, -4.0), "use": (-3.0, -1.0), "x": (-5.0, -6.0)})
+    words = {
+        "house": [-1.0, -9.0],
+        "houses": [-3.0, -1.0],  # "use" is longer than "ho"
+        "hoax": [-2.0, -4.0],
+        "xxxx": [-5.0, -6.0],
+        "qqq": [0.0, 0.0],
+        "houseuse": [-3.0, -1.0],
+    }
+    assert m.word_scores(list(words)).tolist() == list(words.values())
+
+
+def test_words_are_letters_with_their_marks():
+    assert G.words_of("½ ² Ⅷ 12 _ - ́") == []
+    assert G.words_of("Haus2 don't ÉTÉ") == ["haus", "don", "t", "été"]
+    assert G.words_of("हिन्दी x́y²z") == ["हिन्दी", "x́y", "z"]
+    assert G.words_of(None) == G.words_of("") == []
+
+
+def brute(rows, texts, most=None, min_count=3):
+    """Languages and scores of texts, learned from (text, lang) rows the plain way."""
+    words = re.compile(r"[a-zà-ÿ]+")
+    languages = sorted({lang for _, lang in rows})
+    seen = {x: Counter() for x in languages}
+    for text, lang in rows:
+        for w in words.findall(text.lower()):
+            seen[lang][0, w] += 1
+            for n in range(1, 6):
+                own = f"^{w}$" if n > 1 else w
+                for i in range(len(own) - n + 1):
+                    seen[lang][n, own[i : i + n]] += 1
+    kept = {x for x, n in sum(seen.values(), Counter()).items() if n >= min_count}
+    logs = {}
+    for kind in range(6):
+        own = [x for x in kept if x[0] == kind]
+        totals = [sum(seen[lang][x] for x in own) for lang in languages]
+        for x in own:
+            logs[x] = [
+                math.log((seen[lang][x] + 0.1 * t / max(totals)) / (t + 0.1 * t / max(totals) * len(own)))
+                for lang, t in zip(languages, totals, strict=True)
+            ]
+    out = []
+    for text in texts:
+        own = words.findall(text.lower())
+        total = [0.0] * len(languages)
+        for w in own:
+            found = [logs[0, w]] if (0, w) in logs else []
+            for n in range(5, 0, -1):
+                if found:
+                    break
+                g = f"^{w}$" if n > 1 else w
+                found = [logs[n, g[i : i + n]] for i in range(len(g) - n + 1) if (n, g[i : i + n]) in logs]
+            for f in found:
+                total = [a + b / len(found) for a, b in zip(total, f, strict=True)]
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        best = max(range(len(languages)), key=lambda j: (total[j], -j))
+        out.append((languages[best], 1 / sum(math.exp((t - total[best]) / math.sqrt(len(own))) for t in total)))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 50])
+def test_equals_brute_force(spark, parts):
+    rng = random.Random(7)
+    stems = {"x": ["haus", "baum", "über", "kind"], "y": ["maison", "été", "arbre", "enfant"], "z": ["house", "tree", "child", "over"]}
+    ends = ["", "s", "en", "e", "ing"]
+
+    def text(lang):
+        own = stems[lang] + rng.choice(list(stems.values()))[:1]
+        return " ".join(rng.choice(own) + rng.choice(ends) for _ in range(rng.randint(0, 12)))
+
+    rows = [(i, text(lang), lang) for i in range(240) for lang in [rng.choice("xxxxyz")]]
+    asked = [(1000 + i, text(rng.choice("xyz")) + rng.choice(["", " 12", " qqq wwww"])) for i in range(120)]
+    model = G.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts))
+    got = G.predict(spark.createDataFrame(asked, "doc_id long, text string").repartition(parts), model).collect()
+    want = dict(zip([i for i, _ in asked], brute([r[1:] for r in rows], [t for _, t in asked]), strict=True))
+    for r in got:
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-5, (r, lang, score)
+    assert len(got) == len(asked)
+
+
+def test_confident_keeps_all_columns(docs, odd_rows):
+    table = docs(odd_rows, extra=True)
+    kept = G.confident(table, G.fit(table, min_count=1), 0.0)
+    assert kept.schema == table.schema
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 2, 5, 7]
+
+
+def test_rows_without_ids_are_chosen_by_their_texts(docs):
+    table = docs([(None, f"wort{i} wort haus", "x", "s") for i in range(300)])
+    assert G.fit(table, max_docs_per_language=100, min_count=1).languages == ["x"]
 
 
 def test_odd_rows(docs, odd_rows):

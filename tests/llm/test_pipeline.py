@@ -19,7 +19,7 @@ def plain_language(model, text):
     words = language.words_of(text)
     if not words:
         return "und", 0.0
-    total = np.sum([model.word_scores(w) for w in words], axis=0)
+    total = model.word_scores(words).sum(0)
     soft = np.exp((total - total.max()) / np.sqrt(len(words)))
     return model.languages[int(np.argmax(total))], 1 / soft.sum()
 

@@ -54,18 +54,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_lists(
-    df: DataFrame, schema: str, work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]]
+    df: DataFrame,
+    schema: str,
+    work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]],
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``mapInArrow`` over plain lists: ``work`` gets and gives dictionaries of columns.
 
-    Batches are handed over in slices of about ``SLICE_BYTES``, since lists of Python objects take
+    Batches are handed over in slices of about ``slice_bytes``, since lists of Python objects take
     many times the room of what they were made from.
     """
     ship(df.sparkSession)
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        for out in work(x.to_pydict() for b in batches for x in _slices(b)):
+        for out in work(x.to_pydict() for b in batches for x in slices(b, slice_bytes)):
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -89,9 +92,10 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values if hasattr(values, "__len__") and not isinstance(values, range) else list(values), type=kind)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``size`` bytes."""
     rows = batch.num_rows
-    step = max(1, rows * SLICE_BYTES // max(batch.nbytes, 1))
+    step = max(1, rows * size // max(batch.nbytes, 1))
     for at in range(0, rows, step):
         yield batch.slice(at, step)
 
