@@ -1,7 +1,9 @@
 """From documents to token ids: five stages, each written as Parquet and read by the next.
 
 Every stage is a function of (spark, docs, sf_dir); all but the last return the columns of
-``documents``. A null or empty text has no language and goes in the first stage.
+``documents``. A null or empty text has no language and goes in the first stage. Ids may be null
+or shared by different texts: every row is judged, cut, compared, drawn and encoded by its own text;
+only rows equal in id and text count as copies of one row, in the stage of near duplicates.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import language, line_runs, mixing, near_texts, pieces
+from triage.llm import language, line_runs, mixing, pieces, simhash
 from triage.llm.queries import BOOK_SOURCES, PIECE_MODEL
 from triage.llm.tables import Table
 
@@ -24,10 +26,7 @@ SHARE, EPOCHS, SEED = 0.9, 1, 7
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the model is learned from the labelled ones."""
-    found = language.predict(docs, language.fit(docs), carry=True)
-    return found.filter((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(
-        docs.columns
-    )
+    return language.confident(docs, language.fit(docs), LEAST_SCORE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +41,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates (five-word shingles, likeness 0.8), once.
-
-    Ids may be null or shared: documents are told apart by id and text, and only rows equal in both go as copies.
-    """
-    groups, _ = near_texts.near_duplicates(docs)
-    named = groups.select(F.col("component_id").alias("_first"), F.col("component_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_first")) & (near_texts.text_hash() == F.col("_hash"))
-    return docs.join(named, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """The document with the smallest id of every group of fingerprints within four bits (four-word shingles)."""
+    kept, _ = simhash.first_of_groups(docs)
+    return kept
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
