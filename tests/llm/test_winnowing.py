@@ -15,21 +15,13 @@ def xx(data, seed=42):
     return xxhash.xxh64_intdigest(data, seed)
 
 
-def brute_prints(tokens, k, w):
+def brute_prints(text, k=W.K, w=W.W):
     """(hash, position) by the definition: the rightmost smallest hash of every window."""
-
-    def joined(values):
-        h = 42
-        for v in values:
-            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
-        return h
-
-    h = [xx(t.encode()) for t in tokens]
-    if not h:
+    low = text.lower()
+    if not low:
         return []
-    # An array and a list of columns are hashed alike, each value seeding the next.
-    runs = [joined(h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else [joined(h)]
-    runs = [r >> 27 for r in runs]
+    runs = [low[i : i + k] for i in range(len(low) - k + 1)] if len(low) >= k else [low]
+    runs = [xx(r.encode("utf-32-be")) >> W.BITS & (1 << 37) - 1 for r in runs]
     if len(runs) <= w:
         windows = [range(len(runs))]
     else:
@@ -43,19 +35,8 @@ def brute_prints(tokens, k, w):
     return out
 
 
-def words(t):
-    return t.lower().replace("\t", " ").replace("\n", " ").split(" ") if t else []
-
-
-def prints(t):
-    w = brute_prints([x for x in words(t) if x], W.WORD_K, W.WORD_W)
-    c = brute_prints(list(t.lower()), W.CHAR_K, W.CHAR_W) if len(t) < W.SHORT else None
-    return w, c
-
-
 def near(a, b):
-    x, y = (a[1], b[1]) if a[1] is not None and b[1] is not None else (a[0], b[0])
-    x, y = {h for h, _ in x}, {h for h, _ in y}
+    x, y = {h for h, _ in a}, {h for h, _ in b}
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
@@ -65,7 +46,8 @@ def rows():
     out = [(1, ""), (2, None), (3, "a"), (5, "one two three"), (9, "café 你好 \U0001f600 x"), (12, "a a a a a a a a a a a a a a a")]
     for i in range(40):
         out.append((20 + 3 * i, " ".join(rng.choice("aa bb cc dd ee".split()) for _ in range(rng.randint(1, 300)))))
-    out.append((200, "zz " * 3000))
+    out += [(200, "zz " * 3000), (210, "ΣΑΣ ΟΔΟΣ " * 9), (211, "İstanbul İİİ " * 5), (212, "abΣ" + "x" * 40), (213, "q" * 40), (214, "abcdefghijklm")]
+    out += [(220 + n, "abcdefghijklmnopqrstuvwxyz"[:n] * (1 + n % 2)) for n in range(26)]
     return out
 
 
@@ -81,17 +63,32 @@ def test_equals_brute_force(docs, rows):
         r = got[i]
         assert r["n_chars"] == len(t)
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["near_edited"] == pytest.approx(near(prints(t), prints(edited))), i
-        assert r["near_next"] == pytest.approx(near(prints(t), prints(nxt))), i
-        seen.setdefault(tuple(map(str, prints(t))), set()).add(r["fingerprint"])
+        assert r["near_edited"] == pytest.approx(near(brute_prints(t), brute_prints(edited))), i
+        assert r["near_next"] == pytest.approx(near(brute_prints(t), brute_prints(nxt))), i
+        for name, own in (("fingerprint", t), ("edited_fingerprint", edited)):
+            seen.setdefault(str(brute_prints(own)), set()).add(r[name])
     assert all(len(x) == 1 for x in seen.values())
 
 
-def test_prints_hold_hash_and_position(spark, rows):
+@pytest.mark.parametrize(("k", "w"), [(W.K, W.W), (5, 1), (3, 2), (4, 3), (6, 7), (1, 8)])
+def test_prints_hold_hash_and_position(spark, rows, k, w):
     df = spark.createDataFrame([(i, t or "") for i, t in rows], "doc_id long, text string")
-    df = W.with_prints(df, "text", "w", "c").select("doc_id", "text", W.positions(F.col("w")).alias("w"))
-    for r in df.collect():
-        assert [(x["hash"], x["position"]) for x in r["w"]] == prints(r["text"])[0]
+    for r in df.select("text", W.positions(W.winnow(F.col("text"), k, w)).alias("p")).collect():
+        assert [(x["hash"], x["position"]) for x in r["p"]] == brute_prints(r["text"], k, w)
+
+
+@pytest.mark.parametrize(("k", "w"), [(W.K, W.W), (3, 5), (1, 1)])
+def test_edits_anywhere_give_the_prints_of_the_whole(spark, k, w):
+    rng = random.Random(k)
+    rows = []
+    for _ in range(300):
+        text = "".join(rng.choice("abcΣİé") if rng.random() < 0.2 else rng.choice("ab") for _ in range(rng.randint(0, 40)))
+        same = rng.randint(0, len(text))
+        rows.append((text, text[:same] + "".join(rng.choice("abcΣ") for _ in range(rng.randint(0, 12))), same))
+    df = spark.createDataFrame(rows, "text string, edited string, same int")
+    found = W.winnow_edited(W.winnow(F.col("text"), k, w), F.col("text"), F.col("edited"), F.col("same"), k, w)
+    for r in df.select("edited", W.positions(found).alias("p")).collect():
+        assert [(x["hash"], x["position"]) for x in r["p"]] == brute_prints(r["edited"], k, w)
 
 
 def test_native_plan_and_odd_rows(docs, odd_rows, no_python):

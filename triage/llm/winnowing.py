@@ -1,16 +1,25 @@
 """Winnowing fingerprints with DataFrame functions only.
 
-A text is cut into tokens: lower-cased words, and single characters, by which texts of every
-length are compared. Every run of k tokens is hashed, and of every w consecutive hashes the smallest is
-kept, the rightmost of equal ones, with its position. Any common run of w + k - 1 tokens of two
-texts is therefore found in both fingerprints. A hash (37 bits) and the complement of its
-position (26 bits) stand in one long, so that the least long of a window is the rightmost
+A text is lower-cased and cut into its code points, so that texts of every length and script are
+compared alike. Every run of k code points is hashed, and of every w consecutive hashes the
+smallest is kept, the rightmost of equal ones, with its position. Any common run of w + k - 1
+code points of two texts is therefore found in both fingerprints. A hash (37 bits) and the complement
+of its position (26 bits) stand in one long, so that the least long of a window is the rightmost
 smallest hash.
 
-Defined results: a null text counts as empty; a text without tokens has an empty fingerprint;
-with fewer than k tokens all of them are one run, with fewer than w runs all are one window.
+The text is written in four bytes for each code point, so that a run is a slice of it, shorter
+than one block of the hash function. Runs are hashed afresh instead of rolled: a rolling sum takes
+a state along the text, and array functions keep one only in ``aggregate``, which copies its array
+at every step. Least values of windows are built by doubling, from pairs of neighbours.
+
+An edited text keeps the prints of what was left alone; windows are worked out again only from
+the first one that touches the edit. Where lower-casing depends on the context (capital sigma) or
+changes the length, the whole edited text is winnowed.
+
+Defined results: a null text counts as empty; an empty text has an empty fingerprint;
+with fewer than k code points all of them are one run, with fewer than w runs all are one window.
 Two empty fingerprints are alike (1), an empty and another are not (0). Repeated rows get equal
-results. Positions are exact below 67 million tokens.
+results. Positions are exact below 67 million code points.
 """
 
 from __future__ import annotations
@@ -21,43 +30,62 @@ from pyspark.sql.window import Window
 
 from triage.functions.binding import let
 
-WORD_K, WORD_W = 5, 6
-CHAR_K, CHAR_W = 6, 4
-#: Texts under so many code points have prints of characters: all that a string can hold.
-SHORT = 1 << 31
+K, W = 6, 4
 BITS = 26
 LAST = (1 << BITS) - 1
+HASH = ((1 << 37) - 1) << BITS
+SIGMA = "\u03a3"
 
 
-def word_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+def _pairs(v: Column, apart: int) -> Column:
+    """The lesser of each value and the one so many places on; of those at the end, the value itself."""
+    return let(v, lambda x: F.zip_with(x, F.slice(x, 1 + apart, F.size(x)), lambda a, b: F.least(a, b)))
 
 
-def char_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), ""), lambda x: x != "")
+def _windows(v: Column, w: int) -> Column:
+    """The least value of every w consecutive ones."""
+    width = 1
+    while width < w:
+        apart = min(width, w - width)  # two windows that together cover the next width
+        v, width = _pairs(v, apart), width + apart
+    return let(v, lambda x: F.slice(x, 1, F.size(x) - (w - 1)))
 
 
-def winnow(tokens: Column, k: int, w: int) -> Column:
+def winnow(text: Column, k: int = K, w: int = W) -> Column:
     """The kept (hash, position) pairs as packed longs, in order of position."""
-    nothing = F.array().cast("array<bigint>")
 
-    def pack(h: Column, i: Column) -> Column:
-        return F.shiftleft(F.shiftrightunsigned(h, 64 - 63 + BITS), BITS).bitwiseOR(F.lit(LAST) - i.cast("long"))
+    def pack(run: Column, i: Column) -> Column:
+        return F.xxhash64(run).bitwiseAND(F.lit(HASH)).bitwiseOR((F.lit(LAST) - i).cast("long"))
 
-    def runs(h: Column) -> Column:
-        many = F.transform(
-            F.sequence(F.lit(0), F.size(h) - k),
-            lambda i: pack(F.xxhash64(*(F.get(h, i + j) for j in range(k))), i),
-        )
-        return F.when(F.size(h) >= k, many).when(F.size(h) > 0, F.array(pack(F.xxhash64(h), F.lit(0)))).otherwise(nothing)
+    def runs(b: Column) -> Column:
+        size = F.octet_length(b)
+        many = F.transform(F.sequence(F.lit(1), size - 4 * k + 1, F.lit(4)), lambda at, i: pack(F.substr(b, at, F.lit(4 * k)), i))
+        return F.when(size >= 4 * k, many).otherwise(F.array(pack(b, F.lit(0))))
 
     def least(v: Column) -> Column:
-        many = F.array_distinct(
-            F.transform(F.sequence(F.lit(0), F.size(v) - w), lambda i: F.least(*(F.get(v, i + j) for j in range(w))))
-        )
-        return F.when(F.size(v) > w, many).when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(nothing)
+        return F.when(F.size(v) > w, F.array_distinct(_windows(v, w))).otherwise(F.array(F.array_min(v)))
+
+    found = let(F.encode(F.lower(text), "UTF-32"), lambda b: let(runs(b), least))
+    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def winnow_edited(kept: Column, text: Column, edited: Column, same: Column, k: int = K, w: int = W) -> Column:
+    """The prints of ``edited``, whose first ``same`` code points are those of ``text`` with prints ``kept``."""
+    # Windows before `first` lie in the common part; a print is one of the edit's from there on.
+    first = F.greatest(F.lit(0), same - (w + k - 2)).cast("int")
+    again = F.greatest(F.lit(0), first - (w - 1))
+    plain = ~F.contains(edited, F.lit(SIGMA)) & ~F.contains(text, F.lit(SIGMA)) & (F.length(F.lower(text)) == F.length(text))
+
+    def joined(p: Column, q: Column) -> Column:
+        tail = winnow(F.substr(edited, q + 1, F.greatest(F.length(edited) - q, F.lit(0))), k, w)
+        moved = F.transform(tail, lambda x: x - q)
+        return F.concat(F.filter(kept, lambda x: position(x) < p), F.filter(moved, lambda x: position(x) >= p))
 
-    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: let(runs(h), least))
+    return F.when(plain & (first > 0), let(first, lambda p: let(again, lambda q: joined(p, q)))).otherwise(winnow(edited, k, w))
+
+
+def position(packed: Column) -> Column:
+    return F.lit(LAST) - packed.bitwiseAND(F.lit(LAST))
 
 
 def hashes(packed: Column) -> Column:
@@ -67,32 +95,18 @@ def hashes(packed: Column) -> Column:
 def positions(packed: Column) -> Column:
     """(hash, position) pairs, for matches between two texts."""
     return F.transform(
-        packed,
-        lambda x: F.struct(
-            F.shiftright(x, BITS).alias("hash"), (F.lit(LAST) - x.bitwiseAND(F.lit(LAST))).cast("int").alias("position")
-        ),
+        packed, lambda x: F.struct(F.shiftright(x, BITS).alias("hash"), position(x).cast("int").alias("position"))
     )
 
 
-def with_prints(df: DataFrame, text: str, words: str, chars: str) -> DataFrame:
-    """Adds two columns of packed prints, of words and of characters."""
-    return df.withColumn(words, winnow(word_tokens(F.col(text)), WORD_K, WORD_W)).withColumn(
-        chars, winnow(char_tokens(F.col(text)), CHAR_K, CHAR_W)
-    )
-
+def digest(packed: Column) -> Column:
+    """A short string that is equal for equal fingerprints: 128 bits of hash in hexadecimal digits."""
+    return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(i), packed)), 16, "0") for i in (1, 2))))
 
-def digest(words: str, chars: str) -> Column:
-    """A short string that is equal for equal fingerprints."""
-    return F.md5(
-        F.concat_ws(
-            ";",
-            F.array_join(F.col(words).cast("array<string>"), ","),
-            F.array_join(F.col(chars).cast("array<string>"), ","),
-        )
-    )
 
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common hashes among those of two sets."""
 
-def _jaccard(a: Column, b: Column) -> Column:
     def of(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x, y))
         either = F.size(x) + F.size(y) - both
@@ -101,13 +115,8 @@ def _jaccard(a: Column, b: Column) -> Column:
     return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
-def likeness(chars: str, other_chars: str) -> Column:
-    """Share of common hashes of character runs."""
-    return _jaccard(hashes(F.col(chars)), hashes(F.col(other_chars)))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, words, chars, next_text and next_chars: each text with the next by ascending doc_id.
+    """doc_id, text, prints, hashes, next_text and next_hashes: each text with the next by ascending doc_id.
 
     Ids are cut into ranges of about equal size at quantiles over all ids. Texts move once, to
     their range; each range also gets the first document of the following one, so that the
@@ -129,8 +138,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("block").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
     every = rows.withColumn("ghost", F.lit(False)).unionByName(guests).repartition(n // 4, "block")
     return (
-        with_prints(every, "text", "words", "chars")
-        .withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "chars")})
+        every.withColumn("prints", winnow(F.col("text")))
+        .withColumn("hashes", hashes(F.col("prints")))
+        .withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "hashes")})
         .filter(~F.col("ghost"))
         .drop("ghost", "block")
     )
@@ -150,12 +160,13 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    return with_prints(edited, "edited", "edited_words", "edited_chars").select(
+    same = (n - e).cast("int")
+    return edited.withColumn("edited_prints", winnow_edited(F.col("prints"), F.col("text"), F.col("edited"), same)).select(
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        digest("words", "chars").alias("fingerprint"),
-        digest("edited_words", "edited_chars").alias("edited_fingerprint"),
-        likeness("chars", "edited_chars").alias("near_edited"),
-        likeness("chars", "next_chars").alias("near_next"),
+        digest(F.col("prints")).alias("fingerprint"),
+        digest(F.col("edited_prints")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), hashes(F.col("edited_prints"))).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )
