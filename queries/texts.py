@@ -26,6 +26,7 @@ from triage import fixed_values as fv
 from triage.functions import text as tx
 from triage.operators import label as lb
 from triage.operators import triage_rules as tr
+from triage.operators.keyword_index import keyword_index
 from triage.operators.split import stratified_split
 from triage.sources import tickets as src
 from triage.sources.folders import work_folder
@@ -90,6 +91,37 @@ def word_tokens(spark, d):
     return documents(spark, d).select("doc_id", F.array_join(tokens, " ").alias("out"))
 
 
+def rule_table(spark, d):
+    """A rule book of all words of the benchmark's texts; a word's category goes by its length."""
+    words = table(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("pattern"))
+    length = F.char_length("pattern")
+    place = (length % len(fv.CATEGORIES) + 1).cast("int")
+    return (
+        words.where("pattern <> ''")
+        .groupBy("pattern")
+        .agg(F.min("item_id").alias("item"))
+        .select(
+            (F.col("item") * 100 + length).alias("rule_no"),
+            F.element_at(F.array(*map(F.lit, fv.CATEGORIES)), place).alias("category"),
+            "pattern",
+        )
+    )
+
+
+RULE_TABLE_SQL = (
+    "SELECT min(item_id) * 100 + length(pattern) AS rule_no, "
+    f"list_extract([{names(fv.CATEGORIES)}], CAST(length(pattern) % {len(fv.CATEGORIES)} + 1 AS BIGINT)) AS category, pattern "
+    "FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS pattern FROM benchmark) "
+    "WHERE pattern <> '' GROUP BY pattern"
+)
+
+
+def label_by_rule_table(spark, d):
+    rows = lb.with_rule_text(tickets(spark, d))
+    index = keyword_index(rule_table(spark, d))
+    return index.with_category(rows, "rule_text", "category").select("ticket_id", "category")
+
+
 def label_by(kind):
     def run(spark, d):
         rows = lb.with_rule_text(tickets(spark, d))
@@ -185,6 +217,16 @@ QUERIES = {
         label_by("keyword"),
         with_ctes("SELECT ticket_id, by_keyword AS category FROM ruled", "ruled"),
     ),
+    "label_by_rule_table": (
+        label_by_rule_table,
+        with_ctes(
+            "SELECT ticket_id, min_by(category, rank) AS category FROM blobs LEFT JOIN ranked ON contains(blob, pattern) "
+            "GROUP BY ticket_id",
+            "blobs",
+            rules=RULE_TABLE_SQL,
+            ranked="SELECT *, min(rule_no) OVER (PARTITION BY category) AS rank FROM rules",
+        ),
+    ),
     "map_to_category": (
         map_to_category,
         with_ctes("SELECT ticket_id, category, label_source FROM mapped", "mapped"),

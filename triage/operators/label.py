@@ -11,6 +11,7 @@ from triage import fixed_values as fv
 from triage.functions import text as tx
 from triage.functions.binding import lookup
 from triage.operators.columns import require_columns, with_missing_as_null
+from triage.operators.keyword_index import KeywordIndex
 from triage.operators.lookup import few_rows
 
 KeywordRules = Sequence[tuple[str, Sequence[str]]]
@@ -18,8 +19,8 @@ KeywordRules = Sequence[tuple[str, Sequence[str]]]
 def rules_from_frame(rules: DataFrame) -> KeywordRules:
     """Keyword rules held as a table ``(rule_no, category, pattern)``.
 
-    Reads the table to the driver: its size is that of the rule book, which does
-    not grow with the tickets.
+    Reads the table to the driver, as rules to be tried one by one. Books of more than some
+    hundred keywords are better indexed: see ``keyword_index``, which has no limit.
     """
     require_columns(rules, ("rule_no", "category", "pattern"))
     by_category: dict[str, list[str]] = {}
@@ -69,11 +70,13 @@ def map_to_category(
     *,
     queue_rules: Mapping[str, str] = fv.QUEUE_CATEGORY,
     tag_rules: Mapping[str, str] = fv.TAG_CATEGORY,
-    keyword_rules: KeywordRules = fv.KEYWORD_RULES,
+    keyword_rules: KeywordRules | KeywordIndex = fv.KEYWORD_RULES,
 ) -> DataFrame:
     """Add ``category`` and ``label_source``; both null where no rule fires.
 
-    The result is made of projections only. Each rule's outcome is a column of
+    ``keyword_rules`` are tried one by one, or looked up in a ``KeywordIndex``.
+
+    The result is made of projections only, unless the index is too large for one. Each rule's outcome is a column of
     its own, so that the keyword scan is written, and run, once per ticket, and
     only for tickets that queue and tag leave open.
     """
@@ -88,9 +91,13 @@ def map_to_category(
         }
     )
     decided = F.coalesce(F.col("_by_queue"), F.col("_by_tag"))
-    found = early.withColumn(
-        "category", F.coalesce(decided, category_by_keyword(F.col("_blob"), keyword_rules))
-    )
+    if isinstance(keyword_rules, KeywordIndex):
+        undecided = early.withColumn("_open", F.when(decided.isNull(), F.col("_blob")))
+        early = keyword_rules.with_category(undecided, "_open", "_by_keyword")
+        by_keyword = F.col("_by_keyword")
+    else:
+        by_keyword = category_by_keyword(F.col("_blob"), keyword_rules)
+    found = early.withColumn("category", F.coalesce(decided, by_keyword))
     source = (
         F.when(F.col("_by_queue").isNotNull(), "queue")
         .when(F.col("_by_tag").isNotNull(), "tag")
