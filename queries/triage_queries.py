@@ -17,6 +17,7 @@ from triage.operators import sentiment as se
 from triage.operators import triage_rules as tr
 from triage.plans.classify import classify, recent_classified, with_ticket_id
 from triage.sources.folders import work_folder
+from triage.sources.store import PredictionStore
 from triage.streaming import online
 
 CUSTOM = {"thank": -0.8, "dashboard": -0.1, "team": 0.05, "the ": -0.4}
@@ -164,6 +165,38 @@ def ticket_stats(spark, d):
     return rp.ticket_stats(classify(requests(spark, d)))
 
 
+def _stamped(spark, d):
+    stamps = table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("ticket_id"), F.col("ts").alias("created_at")
+    )
+    return with_ticket_id(requests(spark, d)).join(stamps, "ticket_id", "left")
+
+
+def prediction_store(spark, d):
+    """A store of all classified tickets in three batches, one of them appended again and two of them gathered."""
+    rows = classify(_stamped(spark, d), keep=("created_at",))
+    store = PredictionStore(spark, work_folder(spark, "store"), rows.schema)
+    third = F.pmod(F.xxhash64("ticket_id"), F.lit(3))
+    for i in (0, 1, 1):
+        store.append(rows.where(third == i), f"batch {i}")
+    store.compact()
+    for i in (2, 0):
+        store.append(rows.where(third == i), f"batch {i}")
+    return store
+
+
+def read_store(spark, d):
+    return flat(prediction_store(spark, d).read())
+
+
+def recent_from_store(spark, d):
+    return prediction_store(spark, d).recent().select("ticket_id", "category", "priority", "created_at")
+
+
+def stats_from_store(spark, d):
+    return prediction_store(spark, d).stats()
+
+
 def _ticket_stream(spark, d):
     documents = table(spark, d, "documents")
     # A stream reads folders: the table's own, or the one its single file lies in.
@@ -490,6 +523,17 @@ QUERIES = {
         ),
     ),
     "ticket_stats": (ticket_stats, STATS),
+    "read_store": (read_store, FLAT),
+    "recent_from_store": (
+        recent_from_store,
+        analyzed_sql(
+            "SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, category, priority, ts AS created_at "
+            "FROM classified LEFT JOIN events ON event_id = ticket_id "
+            "ORDER BY ts DESC NULLS LAST, CAST(ticket_id AS VARCHAR) LIMIT 20",
+            classified=CLASSIFIED,
+        ),
+    ),
+    "stats_from_store": (stats_from_store, STATS),
     "stream_classify": (stream_classify, FLAT),
     "stream_stats": (stream_stats, STATS),
 }

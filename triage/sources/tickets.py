@@ -102,7 +102,10 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def append_predictions(df: DataFrame, path: str) -> None:
-    """Append classified tickets, partitioned by the date of ``created_at``."""
+    """Append classified tickets, partitioned by the date of ``created_at``.
+
+    A repeated append writes twice; ``sources.store.PredictionStore`` takes every batch once.
+    """
     require_columns(df, ("created_at",))
     dated = df.withColumn("date", F.to_date("created_at"))
     dated.write.mode("append").partitionBy("date").parquet(path)

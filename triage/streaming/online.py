@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from triage.operators.model import TopicModel
 from triage.operators.report import DIMENSIONS
 from triage.plans.classify import classify
+from triage.sources.store import PredictionStore
 
 
 def read_stream(
@@ -61,6 +62,32 @@ def classify_stream(
     )
 
 
+def store_stream(
+    tickets: DataFrame,
+    store: PredictionStore,
+    checkpoint: str,
+    *,
+    name: str = "stream",
+    model: TopicModel | None = None,
+) -> StreamingQuery:
+    """Classify what has arrived and append it to a store, a batch of the store for each of the stream.
+
+    A batch run again after a failure has its number, and so its id, again: it counts once, and so
+    do the store's counts, which are never rewritten as a whole.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        mode = "rules" if model is None else "model"
+        store.append(classify(batch, mode=mode, model=model, keep=("created_at",)), f"{name}-{batch_id}")
+
+    return (
+        tickets.writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def read_classified(spark: SparkSession, out: str) -> DataFrame:
     """All tickets that ``classify_stream`` has written so far."""
     if _folders(spark, f"{out}/_spark_metadata"):
