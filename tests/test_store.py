@@ -124,6 +124,13 @@ def test_days_do_not_hang_on_the_time_zone(spark, store):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_time_stamps_without_a_zone(spark, tmp_path):
+    rows = tickets(spark, range(30)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    store = PredictionStore(spark, str(tmp_path / "store"), rows.schema)
+    store.append(rows, "one")
+    same_answers(store, rows)
+
+
 def test_stream_into_a_store(spark, store, tmp_path):
     from triage.plans.classify import classify
     from triage.streaming import online

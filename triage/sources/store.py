@@ -44,8 +44,10 @@ RECORD = T.StructType(
 STATS_SCHEMA = "dimension string, value string, n long"
 
 
-def utc_day(stamp: str = "created_at") -> Column:
+def utc_day(stamp: str, kind: T.DataType) -> Column:
     """The day of a time stamp, the same in every session's time zone; null of null."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.to_date(stamp)
     return F.date_from_unix_date(F.floor(F.unix_seconds(stamp) / 86400).cast("int"))
 
 
@@ -100,7 +102,7 @@ class PredictionStore:
     def _write(self, rows: DataFrame, folder: str, *, batch=None, replaces=(), generation=None, stats=None) -> dict:
         """Write a folder's tickets and counts; the record that would name it."""
         place = f"{self.path}/tickets/folder={folder}"
-        dated = rows.withColumn("_day", utc_day())
+        dated = rows.withColumn("_day", utc_day("created_at", self.schema["created_at"].dataType))
         if replaces:  # few files to a day; large days are split among tasks
             dated = dated.hint("rebalance", F.col("_day"))
         dated.write.partitionBy("_day").parquet(place)
