@@ -264,3 +264,22 @@ def test_rows_without_terms_and_small_slices(monkeypatch):
         assert losses[0] == pytest.approx(want)
         assert grads[0] == pytest.approx([pull[0], 3 * pull[2], 2 * pull[0], pull.sum()])
         assert squares[0] == pytest.approx([0.25, 2.25, 1.0, 1.5])
+
+
+def test_a_classifier_that_names_one_class_is_seen(spark, monkeypatch):
+    from queries.topics import agreeing, scored_plainly
+
+    rows = table(spark, [(t, c) for c, texts in CORPUS.items() for t in texts] + [("", None), ("qqq", None)])
+    model = mo.fit_topics(rows, min_df=1)
+    plain = scored_plainly(model, rows).persist()
+
+    def agreed():
+        found = mo.predict_with_confidence(rows, model)
+        return [r["agrees"] for r in agreeing(found, plain, "confidence").collect()]
+
+    assert all(agreed()) and plain.select("plain_category").distinct().count() > 2
+    best = mo.best_class
+    monkeypatch.setattr(mo, "best_class", lambda p, m: (F.lit("Billing"), best(p, m)[1]))
+    assert not all(agreed())
+    monkeypatch.setattr(mo, "best_class", lambda p, m: (best(p, m)[0], F.lit(0.9)))
+    assert not any(agreed())
