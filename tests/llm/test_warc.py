@@ -1,6 +1,7 @@
 import gzip
 import random
 import re
+import time
 
 import pytest
 
@@ -58,7 +59,7 @@ def test_truncated_and_foreign_bytes():
     parts = [gzip.compress(r, mtime=0) for _, _, r in make(6)]
     data = b"junk!" + parts[0] + parts[1] + b"\x00" * 50 + parts[2] + parts[3][:40] + parts[4] + parts[5][:-9]
     found = list(W.salvage(data))
-    assert ids(found) == [0, 1, 2, 4]
+    assert ids(found) == [0, 1, 2, 4, 5]  # of the last member only its checksums are cut off
     gaps = lost(found)
     assert gaps[0] == (0, 5) and gaps[-1][1] == len(data) and len(gaps) == 4
     assert list(W.salvage(b"")) == []
@@ -77,20 +78,43 @@ def test_damage_in_a_member_of_several_records():
     found = list(W.salvage(gzip.compress(b"".join(parts), mtime=0) + gzip.compress(make(1)[0][2], mtime=0)))
     assert ids(found) == [i for i in range(40) if i != 7] + [0]
     (gap,) = [f for f in found if f.reason]
-    assert "of the member" in gap.reason and gap.offset == 0
+    begin = sum(len(p) for p in parts[:7])
+    assert gap.inner == (begin, len(parts[7])) and gap.offset == 0 and "digest" in gap.reason
 
     whole = gzip.compress(b"".join(r for _, _, r in rows), mtime=0)
     behind = gzip.compress(make(1)[0][2], mtime=0)
     wrong_sum = bytearray(whole)
     wrong_sum[-6] ^= 0x55
     found = list(W.salvage(bytes(wrong_sum) + behind))
-    assert ids(found) == [*range(40), 0] and lost(found) == [(0, len(whole))]
+    ((a, b),) = lost(found)
+    assert ids(found) == [*range(40), 0] and len(whole) - 8 <= a < b == len(whole)
     cut = list(W.salvage(whole[: len(whole) // 2] + behind))
     assert ids(cut)[:10] == list(range(10)) and ids(cut)[-1] == 0 and len(lost(cut)) >= 1
     middle = bytearray(whole)
     middle[len(whole) // 2] ^= 0x55
     found = list(W.salvage(bytes(middle)))
-    assert ids(found)[:10] == list(range(10)) and lost(found)
+    assert ids(found)[:10] == list(range(10))
+    outer = [f for f in found if f.reason and f.inner is None]
+    assert outer and all(f.offset >= len(whole) // 2 - 1 for f in outer)  # what stands before the damage is no gap
+
+
+def test_a_whole_record_before_a_cut_counts():
+    data = b"".join(r for _, _, r in make(10, seed=3))
+    for keep in (len(gzip.compress(data, mtime=0)) - 8, len(gzip.compress(data, mtime=0)) - 1):
+        found = list(W.salvage(gzip.compress(data, mtime=0)[:keep]))
+        assert ids(found) == list(range(10))
+        assert [f.reason for f in found if f.reason] == [W.CUT]
+
+
+def test_bad_version_lines_take_time_in_proportion():
+    behind = make(1)[0][2]
+    for line in (b"WARC/1.1\r\n", b"WARC/1.0\r\nx\r\n", b"WARC/1.x "):
+        data = line * (2_000_000 // len(line)) + behind
+        for packed in (data, gzip.compress(data, mtime=0)):
+            start = time.process_time()
+            found = list(W.salvage(packed))
+            assert ids(found) == [0] and len([f for f in found if f.reason]) == 1
+            assert time.process_time() - start < 5
 
 
 PAGES = "page_id long, url string, html string"

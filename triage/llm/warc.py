@@ -9,7 +9,10 @@ The reader goes through members, or version lines of uncompressed records. A rec
 its header can be read, its block has the stated length and ends as it must, and its payload has
 the stated digest. Behind anything else it searches for the next member or version line at which a
 record counts, goes on from there, and logs the bytes between as a gap. The same is done with the content of a member
-that holds several records, and with what can be decompressed of a damaged one.
+that holds several records, and with what can be decompressed of a damaged one: such gaps have
+the member's range in the archive and, in ``inner_offset`` and ``inner_length``, their own in its content. A
+member that breaks off gives the records before that, the one that ends just there too, and a gap
+from the byte at which it breaks off. Every search goes on from where the last one stopped.
 
 Defined results: a null payload is empty; rows that share the smallest id of a payload are all
 responses, as are rows without id that share theirs with no row that has one; line ends in a URL
@@ -34,6 +37,7 @@ from triage.llm.tables import map_lists
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 END = b"\r\n\r\n"
 CUT = "member without end"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
@@ -133,6 +137,7 @@ class Found:
     payload: bytes | None = None
     payload_bytes: int | None = None
     reason: str | None = None
+    inner: tuple[int, int] | None = None  # a gap's place in the content of a member
 
 
 class Damaged(ValueError):
@@ -143,7 +148,9 @@ def parse_record(data: bytes, at: int) -> tuple[Found, int]:
     """The record at ``at`` and where it ends; raises Damaged if a check fails."""
     if not (m := VERSION.match(data, at)):
         raise Damaged("no version line")
-    end = data.find(END, m.end() - 2)
+    # A header ends before the next record begins: no search goes past that.
+    limit = data.find(b"\r\nWARC/1.", m.end() - 2)
+    end = data.find(END, m.end() - 2, len(data) if limit < 0 else limit + 2)
     if end < 0:
         raise Damaged("header without end")
     headers = {}
@@ -223,14 +230,11 @@ def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Found], int, str |
         return [found], end, None
     content, end, wrong = _member(view, at)
     inside = list(_inside(content))
-    # A record that ends where a cut-off member does is part of the gap.
-    if wrong == CUT and inside and inside[-1].reason is None and inside[-1].offset + inside[-1].length == len(content):
-        inside.pop()
     if all(x.reason for x in inside) and (inside or wrong):
         raise Damaged(wrong or inside[0].reason)
     for x in inside:
         if x.reason:
-            x.reason = f"bytes {x.offset} to {x.offset + x.length} of the member: {x.reason}"
+            x.inner = (x.offset, x.length)
         x.offset, x.length = at, end - at
     return inside, end, wrong
 
@@ -238,7 +242,7 @@ def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Found], int, str |
 def salvage(data: bytes) -> Iterator[Found]:
     """All records that count, and the gaps between and inside of members, in order.
 
-    Of a member with damage the records before it count; the gap then begins where the member does.
+    Behind a damaged member the search goes on from its second byte, since its end may be missing.
     """
     view, at, lost, reason = memoryview(data), 0, None, ""
     while at < len(data):
@@ -250,11 +254,12 @@ def salvage(data: bytes) -> Iterator[Found]:
             at = _next(data, at)
             continue
         if found and lost is not None:
+            lost = min(lost, at)
             yield Found(lost, at - lost, reason=reason)
             lost = None
         yield from found
         if wrong:
-            lost, reason, at = at, wrong, _next(data, at)
+            lost, reason, at = end, wrong, _next(data, at)
         else:
             at = end
     if lost is not None:
@@ -263,14 +268,19 @@ def salvage(data: bytes) -> Iterator[Found]:
 
 def _next(data: bytes, at: int) -> int:
     """The next place behind ``at`` at which a member or a record may begin."""
-    return min((x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x > 0), default=len(data))
+    m = START.search(data, at + 1)
+    return m.start() if m else len(data)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record and per gap: file, offset, length, reason (gaps), headers, payload, payload_bytes."""
+    """A row per record and per gap: file, offset, length, reason (gaps), headers, payload, payload_bytes,
+    inner_offset and inner_length (gaps inside a member).
+
+    A file is one row on its way to a task, so it has to fit one: up to some hundred MB.
+    """
     schema = (
         "file string, offset long, length long, reason string, headers map<string,string>, "
-        "payload binary, payload_bytes long"
+        "payload binary, payload_bytes long, inner_offset long, inner_length long"
     )
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -299,6 +309,8 @@ def _columns(name: str, found: list[Found]) -> dict[str, list]:
         "headers": [list(x.headers.items()) for x in found],
         "payload": [x.payload for x in found],
         "payload_bytes": [x.payload_bytes for x in found],
+        "inner_offset": [x.inner and x.inner[0] for x in found],
+        "inner_length": [x.inner and x.inner[1] for x in found],
     }
 
 
@@ -319,4 +331,4 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def gaps(found: DataFrame) -> DataFrame:
-    return found.filter("reason is not null").select("file", "offset", "length", "reason")
+    return found.filter("reason is not null").select("file", "offset", "length", "inner_offset", "inner_length", "reason")
