@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage.llm.tables import id_remainder, map_lists, share_of_ids
+from triage.llm.tables import Table, id_remainder, map_lists, share_of_ids
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 4
@@ -137,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 10_000, prior: f
     ``max_fit_docs`` bounds the labelled rows of each class used to fit (their ids, at most
     some 2 x ``max_fit_docs``, are what is broadcast). ``prior`` is added to every count. Copies
     and most near copies (equal smallest hash of three words) count once per class, since a
-    group of them would make all its words look telling.
+    group of them would make all its words look telling: the row with the smallest hashed id, then
+    text, stands for them. The fit does not hang on the order of rows.
     """
     chosen, shares = training_labels(labels, max_fit_docs)
 
@@ -146,9 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 10_000, prior: f
             yield {**b, "h": [smallest_hash(tokens_of(t)) for t in b["text"]]}
 
     labelled = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    sample = map_lists(
-        labelled.select("text", "toxic", "fold"), "text string, toxic int, fold long, h long", mark
-    ).dropDuplicates(["h", "toxic"])
+    place = F.xxhash64(F.lit("toxic"), "doc_id").alias("place")
+    marked = map_lists(
+        labelled.select(place, "text", "toxic", "fold"), "place long, text string, toxic int, fold long, h long", mark
+    )
+    first = F.min(F.struct("place", "text", "fold")).alias("first")
+    written = Table(marked.groupBy("h", "toxic").agg(first).select("toxic", "first.text", "first.fold"), "toxic-sample")
+    sample = written.df
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -184,10 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 10_000, prior: f
         kept |= {x["token"]: x["odds"] - CAUTION * x["sd"] for x in rows.collect()}
     counts.unpersist()
     model = ToxicityModel(kept)
-    if not kept:
-        return model
-    if not _calibrate(sample.filter("fold = 4"), model, shares):
+    if kept and not _calibrate(sample.filter("fold = 4"), model, shares):
         _calibrate(sample, model, shares)
+    written.drop()
     return model
 
 
@@ -196,44 +200,49 @@ def _calibrate(sample: DataFrame, model: ToxicityModel, shares: dict[int, float]
 
     False, and no curve, if a class is missing.
     """
-    bare = ToxicityModel(model.scores)
+    bare, floor = ToxicityModel(model.scores), min(model.scores.values())
 
     def measure(batches: Iterator[dict]) -> Iterator[dict]:
+        """Of clean texts the tokens, the segments of at least the smallest score, and how often each score occurs."""
         for b in batches:
-            lists = [tokens_of(t) for t in b["text"]]
-            found = [bare.token_scores(x) for x in lists]
-            yield {
-                "toxic": b["toxic"],
-                "n": [len(x) for x in lists],
-                "hits": [s[s > 0].tolist() for s in found],
-                "segs": [[x[2] for x in segments(s)] for s in found],
-            }
-
-    rows = map_lists(sample.select("text", "toxic"), "toxic int, n long, hits array<double>, segs array<double>", measure).collect()
-    if len({r["toxic"] for r in rows}) < 2:
+            seen: Counter = Counter()
+            for text, y in zip(b["text"], b["toxic"], strict=True):
+                seen[f"class {y}", 0.0] += 1
+                if y == 0:
+                    scores = bare.token_scores(tokens_of(text))
+                    seen["tokens", 0.0] += len(scores)
+                    seen["segments", 0.0] += sum(x[2] >= floor for x in segments(scores))
+                    seen.update(("hit", x) for x in scores[scores > 0].tolist())
+            yield {"what": [k for k, _ in seen], "score": [x for _, x in seen], "n": list(seen.values())}
+
+    # A row for each different score at most.
+    rows = map_lists(sample.select("text", "toxic"), "what string, score double, n long", measure)
+    found = rows.groupBy("what", "score").agg(F.sum("n").alias("n")).orderBy("what", "score").collect()
+    total = {r["what"]: r["n"] for r in found if r["what"] != "hit"}
+    if not total.get("class 0") or not total.get("class 1"):
         return False
-    clean = [r for r in rows if r["toxic"] == 0]
-    n = sum(r["n"] for r in clean) + 1
+    n = total["tokens"] + 1
     # One more positive token of the smallest score than was seen, so that the equation has a root.
-    hits = np.asarray([x for r in clean for x in r["hits"]] + [min(model.scores.values())])
-    miss = max(n - len(hits), 1)
+    hits = np.asarray([r["score"] for r in found if r["what"] == "hit"] + [floor])
+    times = np.asarray([r["n"] for r in found if r["what"] == "hit"] + [1])
+    miss = max(n - times.sum(), 1)
     low, high = 0.0, 50.0
     for _ in range(80):
         mid = (low + high) / 2
-        value = (miss * math.exp(-GAP * mid) + np.exp(np.minimum(hits * mid, 700)).sum()) / (miss + len(hits))
+        value = (miss * math.exp(-GAP * mid) + (times * np.exp(np.minimum(hits * mid, 700))).sum()) / (miss + times.sum())
         low, high = (mid, high) if value < 1 else (low, mid)
     model.rate = max(low, 0.05)
-    floor = min(model.scores.values())
-    above = sum(x >= floor for r in clean for x in r["segs"]) + 1
-    model.density = above / (n * math.exp(-model.rate * floor))
-    x, y = [], []
-    for r in rows:
-        size = max(r["n"], 1)
-        total = sum(s for s in r["segs"] if model.density * size * math.exp(-model.rate * min(s, 500.0)) < 1)
-        v = model.rate * total - math.log(max(model.density * size, 1e-12))
-        x.append(max(-CLIP, min(CLIP, v)) if total > 0 else -CLIP)
-        y.append(r["toxic"])
-    xs, ys, w = np.column_stack([np.ones(len(x)), x]), np.asarray(y, dtype=float), np.zeros(2)
+    model.density = (total["segments"] + 1) / (n * math.exp(-model.rate * floor))
+    known = ToxicityModel(model.scores, model.rate, model.density)
+
+    def weigh(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"toxic": b["toxic"], "x": [known.evidence(tokens_of(t)) for t in b["text"]]}
+
+    # Two numbers for each text of the sample, whose size ``max_fit_docs`` bounds.
+    points = sorted((r["x"], r["toxic"]) for r in map_lists(sample.select("text", "toxic"), "toxic int, x double", weigh).collect())
+    x, y = zip(*points, strict=True)
+    xs, ys, w = np.column_stack([np.ones(len(x)), np.asarray(x)]), np.asarray(y, dtype=float), np.zeros(2)
     each = np.asarray([1 / shares[v] for v in y])
     for _ in range(100):  # Newton steps with a small ridge, which also holds separable classes
         p = 1 / (1 + np.exp(-np.clip(xs @ w, -500, 500)))
