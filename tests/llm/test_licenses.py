@@ -52,6 +52,61 @@ def test_scan_equals_brute_force(docs, odd_rows):
         assert found == wanted[r["doc_id"]], r["doc_id"]
 
 
+def brute_windows(text, templates, threshold=0.8):
+    """By label the largest share of a template in any window of so many words as it takes, or in any line."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words, lines = L.WORDS.findall(low), [L.WORDS.findall(x) for x in low.split("\n")]
+    out = {}
+    for label, t in templates.items():
+        own, room = set(L.words_of(t)), math.ceil(len(L.words_of(t)) / threshold - 1e-9)
+        blocks = [words[i : i + room] for i in range(len(words))] + lines
+        best = max((len(own & set(b)) for b in blocks), default=0)
+        if best >= math.ceil(threshold * len(own) - 1e-9):
+            out[label] = best / len(own)
+    return out
+
+
+def wrapped_texts():
+    """Notices with lost, added and repeated words, cut into lines anywhere, some with a line that holds most of one."""
+    rng = random.Random(9)
+    out = []
+    for _ in range(250):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            own = rng.choice(list(L.TEMPLATES.values())).split()
+            words += [w for w in own if rng.random() < rng.choice([1.0, 0.9, 0.8])]
+            words += rng.choices(["the", "of", "License", "any", "zzz"], k=rng.randint(0, 12))
+        out.append("".join(w + rng.choice(["\n", " ", " ", " ", " "]) for w in words))
+    return out
+
+
+def test_windows_equal_brute_force(docs):
+    rows = list(enumerate(wrapped_texts()))
+    crossing = 0
+    for r in L.scan(docs(rows)).collect():
+        best = {}
+        for h in [*r["hits"], *r["wrapped"]]:
+            best[h["label"]] = max(best.get(h["label"], 0.0), h["containment"])
+        assert best == brute_windows(rows[r["doc_id"]][1], L.TEMPLATES), r["doc_id"]
+        crossing += bool({h["label"] for h in r["wrapped"]} - {h["label"] for h in r["hits"]})
+    assert crossing > 50
+
+
+def test_sql_knows_windows_too(spark, docs, odd_rows, tmp_path):
+    import compare
+    from triage.llm.queries import op10_licenses
+    from triage.llm.sql import LICENSES
+
+    table = docs(list(enumerate(wrapped_texts())) + [(1000 + i, t) for i, (_, t, *_) in enumerate(odd_rows)])
+    table.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    ok, message = compare.compare(spark, con, op10_licenses, LICENSES, str(tmp_path))
+    assert ok, message
+
+
 def test_null_and_empty_have_no_places(docs):
     for r in L.scan(docs([(1, None), (2, "")])).collect():
         assert (r["n_words"], r["n_base"], r["first_word"], r["hits"], r["score"]) == (0, 0, None, [], 0.0)

@@ -10,7 +10,7 @@ candidates that pass are counted in full, so the join is exact.
 
 A notice wrapped over several lines is found in windows of words that cross line ends, as long as
 the template's words over the threshold; the prefix and length filters are put to the whole text.
-Where a line holds the template by itself, its windows are not given again.
+Where a line holds as much of the template by itself, its windows are not given again.
 
 Defined results: null and empty texts have no words, no places and empty labels; a block that
 meets several templates gets them all; repeated rows are scanned each. Extra columns are left out.
@@ -117,8 +117,8 @@ class TemplateIndex:
         return out
 
 
-    def wrapped(self, words: list[str], lines: list[int], whole: set[tuple[int, str]]) -> list[dict]:
-        """Templates in windows over several lines; ``lines`` has each word's line, ``whole`` the (line, label) found."""
+    def wrapped(self, words: list[str], lines: list[int], whole: Mapping[tuple[int, str], float]) -> list[dict]:
+        """Templates in windows over several lines; ``lines`` has each word's line, ``whole`` what (line, label) holds alone."""
         present = set(words)
         out = []
         for label in sorted({x for w in self.keys & present for x, _ in self.prefixes[w]}):
@@ -137,7 +137,7 @@ class TemplateIndex:
                         del seen[words[at[first]]]
                     first += 1
                 a, b, share = lines[at[first]], lines[i], len(seen) / len(own)
-                if len(seen) < need or a == b or any((n, label) in whole for n in range(a, b + 1)):
+                if len(seen) < need or a == b or any(whole.get((n, label), 0.0) >= share for n in range(a, b + 1)):
                     continue
                 if at[first] > end:  # of windows that overlap the best one counts
                     best = {"line": a, "last_line": b, "label": label, "containment": share}
@@ -213,7 +213,7 @@ def scan(
                 out["last_word"].append(max(starts, default=None))
                 out["base_labels"].append(sorted(labels))
                 out["hits"].append(hits)
-                out["wrapped"].append(found.wrapped(words, lines, {(h["line"], h["label"]) for h in hits}))
+                out["wrapped"].append(found.wrapped(words, lines, {(h["line"], h["label"]): h["containment"] for h in hits}))
                 out["score"].append(1.0 if starts else max((h["containment"] for h in hits), default=0.0))
             yield {"doc_id": b["doc_id"], **out}
 

@@ -53,25 +53,34 @@ def _licenses() -> str:
     for label, text in licenses.TEMPLATES.items():
         own = sorted(set(licenses.words_of(text)))
         need = max(1, math.ceil(0.8 * len(own) - 1e-9))
-        templates.append(f"({_quoted(label)}, [{', '.join(map(_quoted, own))}], {need})")
+        room = math.ceil(len(licenses.words_of(text)) / 0.8 - 1e-9)
+        templates.append(f"({_quoted(label)}, [{', '.join(map(_quoted, own))}], {need}, {room})")
     labels = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')"
     return (
-        f"WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), "
-        f"words AS (SELECT doc_id, {_words('text')} AS w FROM texts), "
-        f"phrases AS (SELECT doc_id, len(w) AS n, {found} FROM words), "
-        f"base AS (SELECT doc_id, n, {every} AS starts, [{base}] AS names FROM phrases), "
-        f"blocks AS (SELECT doc_id, list_distinct({_words('line')}) AS b FROM "
-        "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)), "
-        f"templates(label, t, need) AS (VALUES {', '.join(templates)}), "
-        "hits AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates "
+        "WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), "
+        f"words AS (SELECT r, doc_id, {_words('text')} AS w FROM texts), "
+        f"phrases AS (SELECT r, doc_id, len(w) AS n, {found} FROM words), "
+        f"base AS (SELECT r, doc_id, n, {every} AS starts, [{base}] AS names FROM phrases), "
+        f"blocks AS (SELECT r, list_distinct({_words('line')}) AS b FROM "
+        "(SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts)), "
+        f"templates(label, t, need, room) AS (VALUES {', '.join(templates)}), "
+        "lines AS (SELECT r, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates "
         "WHERE len(list_intersect(b, t)) >= need), "
-        "best AS (SELECT doc_id, list(label) AS found, max(share) AS share FROM hits GROUP BY doc_id) "
+        # Windows of so many words as the template takes, over line ends, from each word of the template on.
+        "places AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM words), "
+        "own AS (SELECT r, label, i, word, room, need, len(t) AS size FROM places "
+        "JOIN (SELECT *, unnest(t) AS word FROM templates) USING (word)), "
+        "windows AS (SELECT a.r, a.label, a.i, count(DISTINCT b.word) / any_value(a.size) AS share FROM own a "
+        "JOIN own b ON a.r = b.r AND a.label = b.label AND b.i BETWEEN a.i AND a.i + a.room - 1 "
+        "GROUP BY a.r, a.label, a.i HAVING count(DISTINCT b.word) >= any_value(a.need)), "
+        "hits AS (SELECT r, label, share FROM lines UNION ALL SELECT r, label, share FROM windows), "
+        "best AS (SELECT r, list(label) AS found, max(share) AS share FROM hits GROUP BY r) "
         "SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, "
         "CAST(list_min(starts) - 1 AS BIGINT) AS first_word, CAST(list_max(starts) - 1 AS BIGINT) AS last_word, "
         f"{labels.format('names')} AS base_labels, "
         f"{labels.format('list_concat(names, coalesce(found, []))')} AS labels, "
         "CASE WHEN len(starts) > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(share, CAST(0 AS DOUBLE)) END AS score "
-        "FROM base LEFT JOIN best USING (doc_id)"
+        "FROM base LEFT JOIN best USING (r)"
     )
 
 
