@@ -9,11 +9,13 @@ from queries.common import (
     q,
     split_tickets,
     sql_words,
+    table,
     tickets,
     with_ctes,
 )
 from triage import fixed_values as fv
 from triage.operators import profile as pr
+from triage.operators import quantiles as qt
 from triage.operators import weights as wt
 
 TYPES = ("Incident", "Request", "Problem", "Change")
@@ -115,7 +117,23 @@ WEIGHTED = (
 )
 SCHEMES = ("balanced", "capped", *[n for n, _ in fv.EFFECTIVE_BETAS])
 
+SKETCH_POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def quantile_sketch(spark, d):
+    """Prices hardly repeat: quantiles by flag from sketches of its line states, against the ranks among all rows."""
+    rows, price = table(spark, d, "lineitem"), F.col("l_extendedprice")
+    merged = qt.merge(qt.sketch(rows, price, ["l_returnflag", "l_linestatus"]), ["l_returnflag"])
+    errors = qt.rank_errors(rows, price, SKETCH_POINTS, ["l_returnflag"], sketches=merged)
+    return errors.select("l_returnflag", "point", "n", (F.col("error") <= qt.rank_error()).alias("within"))
+
+
 QUERIES = {
+    "quantile_sketch": (
+        quantile_sketch,
+        f"SELECT l_returnflag, unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in SKETCH_POINTS)}]) AS point, n, true AS within "
+        "FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag)",
+    ),
     "category_distribution": (
         lambda spark, d: pr.category_distribution(labelled(spark, d)),
         with_ctes("SELECT category, n FROM class_counts", "class_counts"),
