@@ -10,7 +10,7 @@ smallest hash.
 The text is written in four bytes for each code point, so that a run is a slice of it, shorter
 than one block of the hash function. Runs are hashed afresh instead of rolled: a rolling sum takes
 a state along the text, and array functions keep one only in ``aggregate``, which copies its array
-at every step. Least values of windows are built by doubling, from pairs of neighbours.
+at every step.
 
 An edited text keeps the prints of what was left alone; windows are worked out again only from
 the first one that touches the edit. Where lower-casing depends on the context (capital sigma) or
@@ -37,18 +37,14 @@ HASH = ((1 << 37) - 1) << BITS
 SIGMA = "\u03a3"
 
 
-def _pairs(v: Column, apart: int) -> Column:
-    """The lesser of each value and the one so many places on; of those at the end, the value itself."""
-    return let(v, lambda x: F.zip_with(x, F.slice(x, 1 + apart, F.size(x)), lambda a, b: F.least(a, b)))
+def _windows(v: Column, w: int) -> Column:
+    """The least values of every w consecutive ones, each once; they hold their place, so equal ones are neighbours."""
 
+    def least(x: Column) -> Column:
+        every = F.transform(x, lambda a, i: F.least(a, *(F.get(x, i + j) for j in range(1, w)))) if w > 1 else x
+        return F.slice(every, 1, F.size(x) - (w - 1))
 
-def _windows(v: Column, w: int) -> Column:
-    """The least value of every w consecutive ones."""
-    width = 1
-    while width < w:
-        apart = min(width, w - width)  # two windows that together cover the next width
-        v, width = _pairs(v, apart), width + apart
-    return let(v, lambda x: F.slice(x, 1, F.size(x) - (w - 1)))
+    return let(let(v, least), lambda m: F.filter(m, lambda a, i: ~a.eqNullSafe(F.get(m, i - 1))))
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
@@ -63,7 +59,7 @@ def winnow(text: Column, k: int = K, w: int = W) -> Column:
         return F.when(size >= 4 * k, many).otherwise(F.array(pack(b, F.lit(0))))
 
     def least(v: Column) -> Column:
-        return F.when(F.size(v) > w, F.array_distinct(_windows(v, w))).otherwise(F.array(F.array_min(v)))
+        return F.when(F.size(v) > w, _windows(v, w)).otherwise(F.array(F.array_min(v)))
 
     found = let(F.encode(F.lower(text), "UTF-32"), lambda b: let(runs(b), least))
     return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<bigint>"))
