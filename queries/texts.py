@@ -26,6 +26,7 @@ from triage import fixed_values as fv
 from triage.functions import text as tx
 from triage.operators import label as lb
 from triage.operators import triage_rules as tr
+from triage.operators.growing_split import GrowingSplit
 from triage.operators.keyword_index import keyword_index
 from triage.operators.split import stratified_split
 from triage.sources import tickets as src
@@ -139,6 +140,16 @@ def map_to_category(spark, d):
     return lb.map_to_category(tickets(spark, d)).select("ticket_id", "category", "label_source")
 
 
+def split_growing(spark, d):
+    """All tickets, arriving in two batches of which one is sent again."""
+    rows = labelled(spark, d)
+    growing = GrowingSplit(spark, work_folder(spark, "growing-split"))
+    short = F.length("text") < 500
+    for batch, part in (("short", rows.where(short)), ("long", rows.where(~short)), ("short", rows.where(short))):
+        growing.append(part, batch)
+    return growing.label(rows).select("ticket_id", "category", "split")
+
+
 def split_query(spark, d):
     return split_tickets(spark, d).select("ticket_id", "category", "split")
 
@@ -271,4 +282,8 @@ QUERIES = {
         split_query,
         with_ctes("SELECT ticket_id, category, split FROM split_tickets", "split_tickets"),
     ),
+    "split_growing": (
+        split_growing,
+        with_ctes("SELECT ticket_id, category, split FROM split_tickets", "split_tickets"),
+    ),
 }
