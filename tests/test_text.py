@@ -162,3 +162,13 @@ def test_char_ngram_bag_holds_the_same_ngrams(apply):
     values += [raw for raw, _ in CLEANED]
     got = apply(tx.char_ngram_bag, values)
     assert [sorted(g) for g in got] == [sorted(char_grams(v)) for v in values]
+
+
+def test_surplus_white_space_and_needed_strings(apply):
+    texts = ["a b", "a  b", " a\tb\n", "a   b", "a　b", "x@y.zz z", "www.a b", "<b>a</b>b", None]
+    assert apply(tx.clean_text, texts) == ["a b", "a b", "a b", "a b", "a b", "z", "b", "a b", None]
+
+
+def test_long_forms_are_found_without_a_pattern_of_ranges(apply):
+    texts = ["ﬁsh", "½ m", "한글", "é", "plain", "a한"]
+    assert apply(tx._has_long_form, texts) == [True, True, True, False, False, True]
