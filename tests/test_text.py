@@ -170,5 +170,7 @@ def test_surplus_white_space_and_needed_strings(apply):
 
 
 def test_long_forms_are_found_without_a_pattern_of_ranges(apply):
+    from pyspark.sql import functions as F
+
     texts = ["ﬁsh", "½ m", "한글", "é", "plain", "a한"]
-    assert apply(tx._has_long_form, texts) == [True, True, True, False, False, True]
+    assert apply(lambda c: tx._has_long_form(F.col(c)), texts) == [True, True, True, False, False, True]
