@@ -89,6 +89,33 @@ def test_cost_does_not_grow_with_the_rules(spark):
     assert seconds(20_000) < 6 * seconds(200) + 3
 
 
+def test_cost_does_not_grow_with_the_square_of_a_text(spark):
+    rng = random.Random(3)
+    index = K.keyword_index(frame(spark, [(i, f"c{i % 5}", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))) for i in range(40_000)]))
+
+    def seconds(n, length):
+        texts = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length))) for i in range(n)]
+        df = spark.createDataFrame(texts, "id long, text string").repartition(8).cache()
+        labelled = index.with_category(df, "text").where("category is not null")
+        labelled.count()
+        start = time.time()
+        labelled.count()
+        return time.time() - start
+
+    assert seconds(200, 40_000) < 4 * seconds(20_000, 400) + 3
+
+
+def test_first_keyword_of_several_in_a_bucket_and_of_one_anchor(spark):
+    """Keywords of one anchor, keywords at the same rank, and a keyword whose anchor is there without it."""
+    words = ["abcdx", "abcdy", "abcdz", "zabcd", "ab", "a", "é日😀"]
+    rules = [(n, f"c{n % 4}", w) for n, w in enumerate(words)] + [(2, "d", "abcdz"), (9, "all", "")]
+    texts = ["abcd", "abcdz", "abcdy abcdx", "zabcdy", "b", "", "xé日😀", "ab", None, "é日"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for in_row_bytes in (K.IN_ROW_BYTES, 0):
+        got = {r["id"]: r["category"] for r in K.keyword_index(frame(spark, rules), in_row_bytes).with_category(df, "text").collect()}
+        assert got == {i: loop(rules, t) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("in_row_bytes", [K.IN_ROW_BYTES, 0])
 def test_labels_with_the_default_book_are_the_same(spark, in_row_bytes):
     from triage import fixed_values as fv
