@@ -165,16 +165,17 @@ def ticket_stats(spark, d):
     return rp.ticket_stats(classify(requests(spark, d)))
 
 
-def _stamped(spark, d):
+def _classified_stamped(spark, d):
+    """Classified tickets with their time; results are brought together with the times, never texts."""
     stamps = table(spark, d, "events").select(
         F.col("event_id").cast("string").alias("ticket_id"), F.col("ts").alias("created_at")
     )
-    return with_ticket_id(requests(spark, d)).join(stamps, "ticket_id", "left")
+    return classify(with_ticket_id(requests(spark, d))).join(stamps, "ticket_id", "left")
 
 
 def prediction_store(spark, d):
     """A store of all classified tickets in three batches, one of them appended again and two of them gathered."""
-    rows = classify(_stamped(spark, d), keep=("created_at",))
+    rows = _classified_stamped(spark, d)
     store = PredictionStore(spark, work_folder(spark, "store"), rows.schema)
     third = F.pmod(F.xxhash64("ticket_id"), F.lit(3))
     for i in (0, 1, 1):

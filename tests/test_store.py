@@ -149,3 +149,12 @@ def test_stream_into_a_store(spark, store, tmp_path):
     assert len(own.batches()) == 4
     run("lost-progress")  # the same batches again, as after a failure
     same_answers(own, classified)
+
+
+def test_files_do_not_grow_with_the_tasks_that_bring_tickets(spark, store, tmp_path):
+    every = tickets(spark, range(400)).repartition(40)
+    store.append(every, "one")
+    same_answers(store, every)
+    files = list((tmp_path / "store" / "tickets").glob("folder=*/_day=*/*.parquet"))
+    days = {f.parent.name for f in files}
+    assert len(days) > 1 and len(files) <= 2 * len(days)

@@ -35,6 +35,8 @@ QUESTION, MAX_QUESTIONS, MANY_QUESTIONS = 0.18, 3, 0.96
 ALPHA = 15.0
 
 PUNCTUATION = string.punctuation
+# Punctuation at an end of a piece.
+PUNCTUATED = r"^[!-/:-@\[-`{-~]|[!-/:-@\[-`{-~]\z"
 
 
 @dataclass(frozen=True)
@@ -70,21 +72,16 @@ def tokens(text: Column | str) -> Column:
     which keeps emoticons.
     """
 
-    def one(piece: Column) -> Column:
-        return let(
-            F.trim(piece, F.lit(PUNCTUATION)),
-            lambda bare: let(
-                F.when(F.length(bare) <= 2, piece).otherwise(bare),
-                lambda w: let(
-                    F.lower(w),
-                    lambda low: F.struct(
-                        low.alias("word"), ((low != w) & (F.upper(w) == w)).alias("caps")
-                    ),
-                ),
-            ),
-        )
+    def bare(piece: Column) -> Column:
+        # Most pieces are only looked at, which takes less than trimming them.
+        trimmed = F.trim(piece, F.lit(PUNCTUATION))
+        return F.when(piece.rlike(PUNCTUATED) & (F.length(trimmed) > 2), trimmed).otherwise(piece)
+
+    def one(w: Column) -> Column:
+        low = F.lower(w)
+        return F.struct(low.alias("word"), ((low != w) & (F.upper(w) == w)).alias("caps"))
 
-    return F.transform(tx.words(text), one)
+    return F.transform(F.transform(tx.words(text), bare), one)
 
 
 def _find(word: Column, known: dict[str, float]) -> Column:

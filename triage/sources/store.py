@@ -103,9 +103,8 @@ class PredictionStore:
         """Write a folder's tickets and counts; the record that would name it."""
         place = f"{self.path}/tickets/folder={folder}"
         dated = rows.withColumn("_day", utc_day("created_at", self.schema["created_at"].dataType))
-        if replaces:  # few files to a day; large days are split among tasks
-            dated = dated.hint("rebalance", F.col("_day"))
-        dated.write.partitionBy("_day").parquet(place)
+        # Few files to a day, however many tasks the tickets come from; large days are split among tasks.
+        dated.hint("rebalance", F.col("_day")).write.partitionBy("_day").parquet(place)
         written = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_day", T.DateType())])).parquet(place)
         days = written.groupBy(F.col("_day").cast("string").alias("day")).agg(F.count("*").alias("n")).collect()
         counts = stats if stats is not None else ticket_stats(written, self.dimensions)
