@@ -53,7 +53,7 @@ class GrowingSplit:
 
     def append(self, df: DataFrame, batch: str) -> bool:
         """Add a batch of ``(ticket_id, category)`` rows; False if one of that id is there already."""
-        if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        if not re.match(r"[A-Za-z0-9_-]+\Z", batch):
             raise ValueError(f"batch ids are letters, digits, - and _: {batch!r}")
         require_columns(df, (self.id_column, "category"))
         if not self.counts().where(F.col("batch") == batch).isEmpty():
